@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import packing, resharding
+from pagemill.llm import decontam, omh, packing, resharding
 from pagemill.llm.common import table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -24,8 +32,16 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard_documents(table(spark, sf_dir, "documents"))
 
 
+REGISTERED = (
+    op1_order_minhash,
+    op2_benchmark_decontamination,
+    op5_best_fit_packing,
+    op6_resharding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_resharding)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
