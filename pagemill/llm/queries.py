@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, omh, packing, resharding
+from pagemill.llm import decontam, omh, packing, quality, resharding, toxicity
 from pagemill.llm.common import table
 
 
@@ -32,11 +32,21 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTERED = (
     op1_order_minhash,
     op2_benchmark_decontamination,
     op5_best_fit_packing,
     op6_resharding,
+    op7_toxicity,
+    op9_quality_classifier,
 )
 
 
