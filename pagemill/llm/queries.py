@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, omh, packing, quality, resharding, toxicity
+from pagemill.llm import decontam, ngram_join, omh, packing, quality, resharding, toxicity
 from pagemill.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +47,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED = (
     op1_order_minhash,
     op2_benchmark_decontamination,
+    op3_ngram_jaccard_join,
     op5_best_fit_packing,
     op6_resharding,
     op7_toxicity,
