@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, ngram_join, omh, packing, quality, resharding, toxicity
+from pagemill.llm import decontam, ngram_join, omh, packing, quality, resharding, suffix_dedup, toxicity
 from pagemill.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ REGISTERED = (
     op5_best_fit_packing,
     op6_resharding,
     op7_toxicity,
+    op8_suffix_array_dedup,
     op9_quality_classifier,
 )
 
