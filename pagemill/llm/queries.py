@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, ngram_join, omh, packing, quality, resharding, suffix_dedup, toxicity
+from pagemill.llm import decontam, html_main, licences, ngram_join, omh, packing, quality, resharding, suffix_dedup, toxicity
 from pagemill.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,15 +52,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = (
     op1_order_minhash,
     op2_benchmark_decontamination,
     op3_ngram_jaccard_join,
+    op4_html_extraction,
     op5_best_fit_packing,
     op6_resharding,
     op7_toxicity,
     op8_suffix_array_dedup,
     op9_quality_classifier,
+    op10_licence_scan,
 )
 
 

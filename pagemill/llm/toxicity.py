@@ -195,3 +195,15 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Learn from the labels outside the held-out fold, then score all documents."""
     return score_documents(docs, learn(labelled_texts(docs, training_ids(labels, "toxic", FOLDS, HELD, train_rows)).select("text", "label")))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents whose score stays under the cut, with all their columns."""
+    grammar = learn(labelled_texts(docs, training_ids(labels, "toxic", FOLDS, HELD, train_rows)).select("text", "label"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([grammar.score(t.as_py()) < CUT for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
