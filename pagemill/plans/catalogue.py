@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.plans import url_queries
+
 FLAGSHIP = "f1_canonical_url"
-FAMILIES: tuple = ()
+FAMILIES = (url_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
