@@ -46,11 +46,11 @@ def header_matches(files: DataFrame, least: float = LEAST) -> DataFrame:
     # Equal lines are one vector.
     distinct = lines.groupBy("line").agg(F.count("*").alias("n"))
     counts = distinct.select("line", "n", F.explode(_words("line")).alias("word")).groupBy("line", "n", "word").agg(F.count("*").alias("tf"))
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = counts.groupBy("word").agg(F.sum("n").alias("df"))
     forms = templates.select("licence", "form", F.explode(_words("line")).alias("word")).groupBy("licence", "form", "word").agg(F.count("*").alias("tf"))
-    idf = F.log((F.col("all") + len(rows) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weighed = lambda t: t.join(df, "word", "left").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * idf)  # noqa: E731  total is one row
+    idf = F.log(F.lit(float(total + len(rows) + 1)) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weighed = lambda t: t.join(df, "word", "left").withColumn("w", F.col("tf") * idf)
     a, b = weighed(counts), weighed(forms).select("licence", "form", "word", F.col("w").alias("v"))
     norms = a.groupBy("line").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     sizes = b.groupBy("licence", "form").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("size"))
