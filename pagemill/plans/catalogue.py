@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import url_queries
+from pagemill.plans import relational_queries, relational_sql, url_queries
 
 FLAGSHIP = "f1_canonical_url"
-FAMILIES = (url_queries,)
+FAMILIES = ((url_queries.QUERIES, url_queries.SQL), (relational_queries.QUERIES, relational_sql.SQL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for family in FAMILIES for k, q in family.QUERIES.items()}
+    return {k: q for found, _ in FAMILIES for k, q in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q for family in FAMILIES for k, q in family.SQL.items()}
+    return {k: q for _, found in FAMILIES for k, q in found.items()}
