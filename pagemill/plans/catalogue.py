@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import relational_queries, relational_sql, url_queries
+from pagemill.plans import relational_queries, relational_sql, text_queries, url_queries
 
 FLAGSHIP = "f1_canonical_url"
-FAMILIES = ((url_queries.QUERIES, url_queries.SQL), (relational_queries.QUERIES, relational_sql.SQL))
+FAMILIES = ((url_queries.QUERIES, url_queries.SQL), (relational_queries.QUERIES, relational_sql.SQL), (text_queries.QUERIES, text_queries.SQL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
