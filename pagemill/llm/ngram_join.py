@@ -185,7 +185,7 @@ def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NU
         rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
         chosen = order[rank < np.repeat(n - (num * n + den - 1) // den + 1, n)]
         lists = []
-        for hot in (False, True):
+        for hot in (False, True):  # cold elements come first, so their places in the order are 0, 1, 2, ...
             own = chosen[(level[chosen] > 0) == hot]
             sizes = np.bincount(owner[own], minlength=len(n))
             lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(h[own].view(np.int64))))
@@ -201,19 +201,52 @@ def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NU
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, cold array<long>, hot array<long>")
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, leader) for every element that several of a partition's rows share; leader is the smallest rep with it."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-    if not parts:
-        return
-    h, rep, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((rep, h))
-    h, rep, n = h[order], rep[order], n[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[first, len(h)])
-    shared = np.repeat(size > 1, size)
-    pair = np.unique(np.stack([rep[shared], np.repeat(rep[first], size)[shared], n[shared]], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, i]) for i in range(3)], names=["rep", "leader", "n"])
+def _leaders(num: int, den: int):
+    """(rep, leader, n) for every element that several of a partition's rows share, run by run of sets that may link.
+
+    An element's sets are ordered by size; where one has less than num / den of the next one's, no pair across can link, and
+    a new run begins. Two sets whose first common element this is can't overlap in more than what follows it in either; in
+    runs of a few sets those that no other fits in this way are left out. leader is the smallest rep of a run.
+    """
+    few = 9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(b.column(c).to_numpy() for c in range(4)) for b in batches]
+        if not parts:
+            return
+        h, rep, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((n, h))
+        h, rep, n, place = h[order], rep[order], n[order], place[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (den * n[:-1] < num * n[1:])])
+        size = np.diff(np.r_[first, len(h)])
+        group, large = np.repeat(np.arange(len(first)), size), np.repeat(size > few, size)
+        most = (den + num) * (n - place) // num - n  # the largest set that this one may link with at this element
+        keep = large.copy()
+        for k in range(1, few):
+            if len(h) <= k:
+                break
+            fits = (group[k:] == group[:-k]) & (n[k:] <= most[:-k]) & (n[:-k] <= most[k:])
+            keep[k:] |= fits
+            keep[:-k] |= fits
+        group, rep, n = group[keep], rep[keep], n[keep]
+        if not len(group):
+            return
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        leader = np.repeat(np.minimum.reduceat(rep, first), np.diff(np.r_[first, len(group)]))
+        pair = np.unique(np.stack([rep, leader, n], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, i]) for i in range(3)], names=["rep", "leader", "n"])
+
+    return run
+
+
+def without_contained(pairs: DataFrame) -> DataFrame:
+    """The pairs (rep, leader) of blocks that aren't wholly inside the block of a smaller leader."""
+    size = pairs.groupBy("leader").agg(F.count("*").alias("size"))
+    own = pairs.select("rep", F.col("leader").alias("inner"))
+    wider = pairs.select("rep", F.col("leader").alias("outer"))
+    met = own.join(wider, "rep").filter("outer < inner").groupBy("inner", "outer").agg(F.count("*").alias("common"))
+    inside = met.join(size, F.col("inner") == F.col("leader")).filter("common = size").select(F.col("inner").alias("leader")).distinct()
+    return pairs.join(inside, "leader", "left_anti")
 
 
 class SignatureTree:
@@ -322,14 +355,19 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     spark = docs.sparkSession
     width = shuffle_width(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = staged(described(docs, rarity_table(docs, k), k, num, den), "described")
+    levels = rarity_table(docs, k)
+    # The sets are made anew for the last join: that costs less than keeping the prefixes of all documents.
+    known = described(docs, levels, k, num, den)
     classes = known.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
     classes = staged(classes, "classes")
-    cold = classes.select(F.explode("cold").alias("h"), "rep", "n").repartition(width, "h")
-    pairs = cold.mapInArrow(_leaders, "rep long, leader long, n long")
-    hot = classes.select(F.explode("hot").alias("h"), "rep", "n")
-    chief = hot.groupBy("h").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    pairs = staged(pairs.union(hot.join(chief, "h").select("rep", "leader", "n")).distinct(), "pairs")
+    cold = classes.select(F.posexplode("cold").alias("place", "h"), "rep", "n").select("h", "rep", "n", F.col("place").cast("long")).repartition(width, "h")
+    pairs = cold.mapInArrow(_leaders(num, den), "rep long, leader long, n long")
+    # Common elements: sizes in steps of num / den, each set with its step and the next, so sets that may link meet in one.
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) - 1e-9)
+    hot = classes.select(F.explode("hot").alias("h"), "rep", "n", step.alias("b")).withColumn("b", F.explode(F.array(F.col("b"), F.col("b") + 1)))
+    chief = hot.groupBy("h", "b").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+    pairs = staged(pairs.union(hot.join(chief, ["h", "b"]).select("rep", "leader", "n")).distinct(), "pairs")
+    pairs = without_contained(pairs)
     sizes = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     tiled = pairs.join(sizes, "leader").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     # A block too large for one task is dealt to tiles, and every two tiles meet in a task of their own.
@@ -338,7 +376,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     rows = tiled.join(docs, "doc_id").select("leader", "i", "j", "doc_id", "text")
     rows = rows.repartition(width, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id")
     roots = components(rows.mapInArrow(_block_links(k, num, den), "a long, b long"))
-    reps = known.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
+    reps = known.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
     out = reps.join(roots, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
