@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import linkage_queries, relational_queries, relational_sql, text_queries, url_queries
+from pagemill.plans import linkage_queries, relational_queries, relational_sql, source_queries, text_queries, url_queries
 
 FLAGSHIP = "f1_canonical_url"
-FAMILIES = ((url_queries.QUERIES, url_queries.SQL), (relational_queries.QUERIES, relational_sql.SQL), (text_queries.QUERIES, text_queries.SQL), (linkage_queries.QUERIES, linkage_queries.SQL))
+FAMILIES = (
+    (url_queries.QUERIES, url_queries.SQL),
+    (relational_queries.QUERIES, relational_sql.SQL),
+    (text_queries.QUERIES, text_queries.SQL),
+    (linkage_queries.QUERIES, linkage_queries.SQL),
+    (source_queries.QUERIES, source_queries.SQL),
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
