@@ -141,4 +141,4 @@ def _searcher(chosen: tuple[tuple[int, str], ...], rate: float):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item."""
-    return docs.join(find_leaks(docs, items, rate).select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id") == F.col("_d"), "left_anti")
+    return docs.join(find_leaks(docs, items, rate).select(F.col("doc_id").alias("_pagemill_id")).distinct(), F.col("doc_id") == F.col("_pagemill_id"), "left_anti")

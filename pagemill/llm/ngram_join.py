@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     levels = rarity_table(docs, k)
     # The sets are made anew for the last join: that costs less than keeping the prefixes of all documents.
     known = described(docs, levels, k, num, den)
-    classes = known.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    classes = known.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("hot").alias("hot")).filter("rep is not null")
     classes = staged(classes, "classes")
     cold = classes.select(F.posexplode("cold").alias("place", "h"), "rep", "n").select("h", "rep", "n", F.col("place").cast("long")).repartition(width, "h")
     pairs = cold.mapInArrow(_leaders(num, den), "rep long, leader long, n long")
@@ -382,6 +382,6 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that are the smallest of their component."""
-    keep = jaccard_components(docs, k, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_d"), "left_semi")
+    """The documents but those that have a smaller one in their component. Rows without an id stay."""
+    rest = jaccard_components(docs, k, num, den).filter("doc_id != component_id").select(F.col("doc_id").alias("_pagemill_id")).distinct()
+    return docs.join(rest, F.col("doc_id") == F.col("_pagemill_id"), "left_anti")

@@ -112,7 +112,7 @@ def with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = {r["p"]: r["k"] for r in docs.groupBy(part.alias("p")).agg(F.max(key).alias("k")).collect()}
     down = sorted(heads, reverse=True)
     host = F.lit(None).cast("int")
-    for p, before in zip(down, [down[-1], *down], strict=False):
+    for p, before in zip(down, [*down[-1:], *down], strict=False):
         host = F.when((F.col("_own") == p) & F.col(key).eqNullSafe(F.lit(heads[p]).cast("long")), before).otherwise(host)
     place = lambda p, guest: F.struct(p.alias("_part"), F.lit(guest).alias("_guest"))
     dealt = docs.withColumn("_own", part).withColumn("_host", host)

@@ -384,8 +384,8 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their texts as left (bytes of a cut character go with it) and n_chars anew; emptied ones go."""
-    cut = remove_repeats(docs, length).filter("kept is not null").select(F.col("doc_id").alias("_d"), F.col("kept").alias("_kept")).dropDuplicates(["_d"])
-    seen = docs.join(cut, F.col("doc_id") == F.col("_d"), "left")
-    text = F.when(F.col("_d").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", ""))
-    seen = seen.withColumn("text", text).filter("_d is null or text != ''")
-    return seen.withColumn("n_chars", F.when(F.col("_d").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    cut = remove_repeats(docs, length).filter("kept is not null").select(F.col("doc_id").alias("_pagemill_id"), F.col("kept").alias("_pagemill_kept")).dropDuplicates(["_pagemill_id"])
+    seen = docs.join(cut, F.col("doc_id") == F.col("_pagemill_id"), "left")
+    text = F.when(F.col("_pagemill_id").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("_pagemill_kept").cast("string")), "\ufffd", ""))
+    seen = seen.withColumn("text", text).filter("_pagemill_id is null or text != ''")
+    return seen.withColumn("n_chars", F.when(F.col("_pagemill_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
