@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,11 +129,9 @@ def _words_of_one(data: np.ndarray) -> np.ndarray:
 
 def _sliced(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text, so that memory doesn't follow the batch's rows."""
-    lengths = np.array([len(x) if x is not None else 0 for x in map(pa.Scalar.as_py, batch.column(column))]) if batch.num_rows < 2 else None
-    if lengths is None:
-        import pyarrow.compute as pc
-
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    if not batch.num_rows:
+        return
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     part = np.cumsum(lengths) // most
     cuts = [*np.flatnonzero(np.r_[True, np.diff(part) > 0]), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
