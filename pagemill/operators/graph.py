@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node and its least depth, up to ``depth`` steps of (src, dst) from the roots (node).
 
-    A round joins only the newest frontier and leaves out what was seen. Deep walks should pass a checkpointed edge table;
-    every third round cuts its lineage with a checkpoint where spark.checkpoint.dir is set.
+    A round joins only the newest frontier and leaves out what was seen. Each round's frontier is cut from its lineage by a
+    checkpoint where spark.checkpoint.dir is set, and kept in memory otherwise, so that no round is worked out twice.
     """
-    spark = edges.sparkSession
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    kept = edges.sparkSession.sparkContext.getCheckpointDir()
+    cut = lambda df: df.checkpoint() if kept else df.persist()
+    seen = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for step in range(1, depth + 1):
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
+        frontier = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
-        if step % 3 == 0 and step < depth and spark.sparkContext.getCheckpointDir():
-            seen = seen.checkpoint()
-            frontier = seen.filter(F.col("depth") == step)
     return seen
