@@ -6,6 +6,10 @@ order common to all; rare elements come first by a fixed-size table of counts ov
 prefix element in common go to the block of the smallest of them. In a block the sets hang in a signature tree: a node has
 the OR of its sets' token bitmaps, their range of sizes and the most tokens that share a bit; two nodes are walked together
 only while the sets under them could overlap enough. Surviving pairs are compared exactly, links make components.
+
+Texts are the bulk of what travels, so a block first gets sketches of its sets: bit b is the parity of the elements that fall
+on b. Sketches differ in at most as many bits as the sets differ in elements, so a set whose sketch is too far from all others
+of its block links with none there, and its text isn't sent.
 """
 
 from __future__ import annotations
@@ -167,17 +171,42 @@ def rarity_table(docs: DataFrame, k: int = WORDS, bits: int = TABLE_BITS) -> np.
     return np.where(over > 8, np.log2(np.maximum(over, 8)) - 2, 0).astype(np.uint8)
 
 
+def sketches(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Of each set the parities of its elements by their low bits: as many bits as elements at least, a power of two."""
+    n = np.diff(bounds)
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    starts = np.r_[0, np.cumsum(width)]
+    low = h & np.repeat((width - 1).astype(np.uint64), n)
+    odd = np.bincount(low.astype(np.int64) + np.repeat(starts[:-1], n), minlength=int(starts[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((starts // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def digests(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, n (size of the set), k1, k2 (its digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _sliced(batch, 1):
+                h, bounds = shingle_sets(_plain(part.column(1)), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *map(pa.array, _digest(h, bounds))], names=["doc_id", "n", "k1", "k2"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+
+
+def _digest(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    sums = [np.r_[np.uint64(0), np.cumsum(_mix(h ^ np.uint64(salt)))] for salt in (0x51ED2701A3C5E7F1, 0x2545F4914F6CDD1D)]
+    return [(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64) for total in sums]
+
+
 def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n (size of the set), k1, k2 (its digest), cold and hot: the prefix elements of level 0 and above."""
+    """The columns of digests(); least (the least hash) and sketch; cold and hot: the prefix elements of level 0 and above."""
     low = np.uint64(len(levels) - 1)
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
         h, bounds = shingle_sets(_plain(part.column(1)), k)
         n = np.diff(bounds)
-        digests = []
-        for salt in (0x51ED2701A3C5E7F1, 0x2545F4914F6CDD1D):
-            total = np.r_[np.uint64(0), np.cumsum(_mix(h ^ np.uint64(salt)))]
-            digests.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+        least = np.r_[h, np.uint64(0)][bounds[:-1]].view(np.int64)  # of an empty set any
         level = levels[(h & low).astype(np.int64)]
         owner = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((h, level, owner))
@@ -189,7 +218,8 @@ def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NU
             sizes = np.bincount(owner[own], minlength=len(n))
             lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(h[own].view(np.int64))))
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, digests), *lists], names=["doc_id", "n", "k1", "k2", "cold", "hot"]
+            [part.column(0), pa.array(n.astype(np.int64)), *map(pa.array, _digest(h, bounds)), pa.array(least), sketches(h, bounds), *lists],
+            names=["doc_id", "n", "k1", "k2", "least", "sketch", "cold", "hot"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,47 +227,51 @@ def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NU
             if batch.num_rows:
                 yield from map(describe, _sliced(batch, 1))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, cold array<long>, hot array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, least long, sketch binary, cold array<long>, hot array<long>")
 
 
 def _leaders(num: int, den: int):
     """(rep, leader, n) for every element that several of a partition's rows share, run by run of sets that may link.
 
-    An element's sets are ordered by size; where one has less than num / den of the next one's, no pair across can link, and
-    a new run begins. Two sets whose first common element this is can't overlap in more than what follows it in either; in
-    runs of a few sets those that no other fits in this way are left out. leader is the smallest rep of a run.
+    Two sets whose first common element this is can't overlap in more than what follows it in either, which bounds the size of
+    a partner: ``most``. Sets that no other fits in this way are left out, and where all sets up to a place have bounds under
+    the sizes from there on, a new run begins. leader is the smallest rep of a run.
     """
-    few = 9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(c).to_numpy() for c in range(4)) for b in batches]
+        parts = [tuple(b.column(c).to_numpy() for c in range(4)) for b in batches if b.num_rows]
         if not parts:
             return
         h, rep, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((n, h))
         h, rep, n, place = h[order], rep[order], n[order], place[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (den * n[:-1] < num * n[1:])])
-        size = np.diff(np.r_[first, len(h)])
-        group, large = np.repeat(np.arange(len(first)), size), np.repeat(size > few, size)
-        most = (den + num) * (n - place) // num - n  # the largest set that this one may link with at this element
-        keep = large.copy()
-        for k in range(1, few):
-            if len(h) <= k:
-                break
-            fits = (group[k:] == group[:-k]) & (n[k:] <= most[:-k]) & (n[:-k] <= most[k:])
-            keep[k:] |= fits
-            keep[:-k] |= fits
-        group, rep, n = group[keep], rep[keep], n[keep]
-        if not len(group):
+        most = np.maximum((den + num) * (n - place) // num - n, 0)  # the largest set that this one may link with at this element
+        fresh = np.r_[True, h[1:] != h[:-1]]
+        # A base for each element keeps running maxima and look-ups inside it.
+        base = np.cumsum(fresh) * (max(int(n.max()), int(most.max())) + 1)
+        keep = _partnered(base, n, most, np.flatnonzero(fresh)[np.cumsum(fresh) - 1])
+        base, rep, n, most = base[keep], rep[keep], n[keep], most[keep]
+        if not len(n):
             return
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        leader = np.repeat(np.minimum.reduceat(rep, first), np.diff(np.r_[first, len(group)]))
+        first = np.flatnonzero(np.r_[True, np.maximum.accumulate(base + most)[:-1] < (base + n)[1:]])
+        leader = np.repeat(np.minimum.reduceat(rep, first), np.diff(np.r_[first, len(n)]))
         pair = np.unique(np.stack([rep, leader, n], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, i]) for i in range(3)], names=["rep", "leader", "n"])
 
     return run
 
 
+def _partnered(base: np.ndarray, n: np.ndarray, most: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether another row of the same base has n <= this row's most and most >= this row's n. Sorted by base and n."""
+    bound = base + most
+    high = np.maximum.accumulate(bound)
+    second = np.maximum.accumulate(np.minimum(np.r_[-1, high[:-1]], bound))
+    end = np.searchsorted(base + n, bound, side="right")  # rows small enough end here
+    last = np.maximum(end - 1, 0)
+    own = (end > np.arange(len(n))) & (bound == high[last])  # the largest bound among them is this row's
+    return (end > first) & (np.where(own, second[last], high[last]) >= base + n)
+
+
 def without_contained(pairs: DataFrame) -> DataFrame:
     """The pairs (rep, leader) of blocks that aren't wholly inside the block of a smaller leader."""
     size = pairs.groupBy("leader").agg(F.count("*").alias("size"))
@@ -248,6 +282,66 @@ def without_contained(pairs: DataFrame) -> DataFrame:
     return pairs.join(inside, "leader", "left_anti")
 
 
+def may_link(n: np.ndarray, own: list[bytes], num: int, den: int) -> np.ndarray:
+    """Whether some other set of a block may link with this one, by sizes (n) and sketches. Exact: no link is lost.
+
+    Sets that link have sketches of one width or of neighbouring ones; the wider is folded. Neighbours are tried first, so near
+    copies, side by side in the block, cost one comparison each; only sets still alone are compared with all of fitting size.
+    """
+    found = np.zeros(len(n), bool)
+    width = np.array([len(x) for x in own])
+    for w in np.unique(width):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        words = np.stack([x[: w // 8] ^ x[w // 8 :] if len(x) > w // 8 else x for x in (np.frombuffer(own[i], np.uint64) for i in at)])
+        size = n[at]
+
+        def near(x: np.ndarray, y: np.ndarray, words: np.ndarray = words, size: np.ndarray = size) -> np.ndarray:
+            differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=-1, dtype=np.int64)
+            fits = den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])
+            return fits & ((den + num) * differ <= (den - num) * (size[x] + size[y]))
+
+        i = np.arange(len(at) - 1)
+        beside = near(i, i + 1)
+        found[at[:-1][beside]] = found[at[1:][beside]] = True
+        by_size = np.argsort(size, kind="stable")
+        ordered, alone = size[by_size], by_size[~found[at[by_size]]]
+        step = max(1, 16_000_000 // (len(at) * int(w)))
+        for s in range(0, len(alone), step):
+            x = alone[s : s + step]
+            lo = np.searchsorted(ordered, size[x[0]] * num // den)
+            hi = np.searchsorted(ordered, -(-size[x[-1]] * den // num), side="right")
+            y = by_size[lo:hi]
+            a, b = np.nonzero(near(x[:, None], y[None, :]) & (x[:, None] != y[None, :]))
+            found[at[x[a]]] = found[at[y[b]]] = True
+    return found
+
+
+def _send(num: int, den: int):
+    """Over rows (leader, i, j, rep, n, sketch) sorted by block: the rows whose texts the block needs."""
+    names = ["leader", "i", "j", "doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                keep = may_link(np.array([r[1] for r in rows]), [r[2] for r in rows], num, den)
+                ids = [r[0] for r, k in zip(rows, keep, strict=True) if k]
+                if ids:
+                    cols = [[c] * len(ids) for c in key]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, ids], (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=names)
+
+        for batch in batches:
+            for *own, rep, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield from result()
+                    key, rows = own, []
+                rows.append((rep, n, sketch))
+        yield from result()
+
+    return run
+
+
 class SignatureTree:
     """Sets of a block in a tree of bitmaps. sets: sorted hash arrays."""
 
@@ -356,26 +450,31 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     levels = rarity_table(docs, k)
     # The sets are made anew for the last join: that costs less than keeping the prefixes of all documents.
-    known = described(docs, levels, k, num, den)
-    classes = known.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("cold").alias("cold"), F.first("hot").alias("hot")).filter("rep is not null")
+    same = [F.first(c).alias(c) for c in ("least", "sketch", "cold", "hot")]
+    classes = described(docs, levels, k, num, den).filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *same).filter("rep is not null")
     classes = staged(classes, "classes")
     cold = classes.select(F.posexplode("cold").alias("place", "h"), "rep", "n").select("h", "rep", "n", F.col("place").cast("long")).repartition(width, "h")
     pairs = cold.mapInArrow(_leaders(num, den), "rep long, leader long, n long")
     # Common elements: sizes in steps of num / den, each set with its step and the next, so sets that may link meet in one.
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) - 1e-9)
-    hot = classes.select(F.explode("hot").alias("h"), "rep", "n", step.alias("b")).withColumn("b", F.explode(F.array(F.col("b"), F.col("b") + 1)))
-    chief = hot.groupBy("h", "b").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-    pairs = staged(pairs.union(hot.join(chief, ["h", "b"]).select("rep", "leader", "n")).distinct(), "pairs")
+    hot = classes.select(F.posexplode("hot").alias("p", "h"), "rep", "n", F.size("cold").alias("ahead"), step.alias("b"))
+    most = F.floor((den + num) * (F.col("n") - F.col("ahead") - F.col("p")) / num) - F.col("n")
+    hot = hot.select("h", "rep", "n", most.alias("most"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
+    chief = hot.groupBy("h", "b").agg(F.min("rep").alias("leader"), F.min("n").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("c")).filter("c > 1")
+    fits = hot.join(chief, ["h", "b"]).filter("lo <= most and n <= hi").select("rep", "leader", "n")
+    pairs = staged(pairs.union(fits).distinct(), "pairs")
     pairs = without_contained(pairs)
     sizes = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     tiled = pairs.join(sizes, "leader").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     # A block too large for one task is dealt to tiles, and every two tiles meet in a task of their own.
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != F.col("t"))))
-    tiled = tiled.withColumn("o", other).select("leader", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.col("rep").alias("doc_id"))
-    rows = tiled.join(docs, "doc_id").select("leader", "i", "j", "doc_id", "text")
+    tiled = tiled.withColumn("o", other).select("leader", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep")
+    tiled = tiled.join(classes.select("rep", "n", "least", "sketch"), "rep").repartition(width, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "least", "n")
+    sent = tiled.select("leader", "i", "j", "rep", "n", "sketch").mapInArrow(_send(num, den), "leader long, i int, j int, doc_id long")
+    rows = sent.join(docs, "doc_id").select("leader", "i", "j", "doc_id", "text")
     rows = rows.repartition(width, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id")
     roots = components(rows.mapInArrow(_block_links(k, num, den), "a long, b long"))
-    reps = known.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
+    reps = digests(docs, k).join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
     out = reps.join(roots, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 

@@ -92,6 +92,32 @@ def test_signature_tree():
         assert roots(len(sets), links) == roots(len(sets), ngram_join.SignatureTree(sets).links(85, 100))
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        base = [np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)) for _ in range(4)]
+        sets = [s[rng.random(len(s)) < rng.choice([1, 0.97, 0.9, 0.5])] for s in (base[rng.integers(4)] for _ in range(rng.integers(2, 50)))]
+        sets = [s for s in sets if len(s)]
+        sets += [rng.integers(0, 2**63, 300, dtype=np.uint64)]
+        made = ngram_join.sketches(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]).to_pylist()
+        found = ngram_join.may_link(np.array([len(s) for s in sets]), made, 85, 100)
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c):
+                    assert found[i] and found[j]
+        assert not found[-1]
+
+
+def test_partners_by_place():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        base, n, most = np.sort(rng.integers(1, 5, 40)) * 100, rng.integers(1, 30, 40), rng.integers(0, 36, 40)
+        n = n[np.lexsort((n, base))]
+        first = np.searchsorted(base, base)
+        want = [any(i != j and base[i] == base[j] and n[j] <= most[i] and n[i] <= most[j] for j in range(40)) for i in range(40)]
+        assert ngram_join._partnered(base, n, most, first).tolist() == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
