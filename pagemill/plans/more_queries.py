@@ -52,7 +52,7 @@ def a24_last_run(spark, sf_dir):
 
 def j12_named_lookup(spark, sf_dir):
     """Customers by the normal form of their nation's name, whether or not it is known."""
-    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), "[^A-Za-z]+", "_"))
+    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), "[^A-Za-z0-9]+", "_"))
     n = _t(spark, sf_dir, "nation").select(norm("n_name").alias("key"), F.col("n_nationkey").alias("k"), "n_regionkey")
     c = _t(spark, sf_dir, "customer").join(F.broadcast(n.select("k", "key")), F.col("c_nationkey") == F.col("k"), "left").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("key")).alias("key"))
     return c.join(F.broadcast(n.select("key", "n_regionkey")), "key", "left").select("c_custkey", "n_regionkey")
