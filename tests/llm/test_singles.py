@@ -134,6 +134,19 @@ def test_loose_pages_lose_what_their_host_repeats(spark):
     assert [got[i] for i in range(5)] == own[:5] and got[5] == f"{bar} {own[5]}"
 
 
+def test_loose_blocks_beside_a_main_element(spark):
+    rng = random.Random(15)
+    bar = sentence(rng, 12)
+    own = [sentence(rng, 15) for _ in range(4)]
+    tops = ["<article></article>", "<main><p>teaser</p></main>", "<article class='post has-sidebar'>all</article>", "<div class='site header-fixed'><article>in</article><div class='sidebar'>no</div></div>"]
+    rows = [(i, f"http://h.org/{i}", f"<body><div>{bar}</div>{top}<div>{t}</div></body>") for i, (top, t) in enumerate(zip(tops, own, strict=True))]
+    rows += [(9 + i, f"http://k.org/{i}", f"<body><p>Skip to content</p><article>{t}</article></body>") for i, t in enumerate(own[:2])]
+    rows += [(None, "http://h.org/x", f"<p>{bar}</p><article>whole</article>")]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {0: own[0], 1: f"teaser {own[1]}", 2: f"all {own[2]}", 3: f"in {own[3]}", 9: own[0], 10: own[1], None: f"{bar} whole"}
+    assert got == want
+
+
 def test_distinct_windows():
     rng = random.Random(6)
     streams = [(i, [rng.choice("ab") for _ in range(rng.randint(0, 30))]) for i in range(5)]
