@@ -233,6 +233,22 @@ def test_licences(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_full_licences(spark):
+    full = licences.full_texts()
+    rng = random.Random(16)
+    files = [(f"{n}/project-terms", f"Copyright (c) 2020 Some One. All rights reserved.\n\n{t}") for n, t in full.items()]
+    files += [(f"{n}/src/code", "no header") for n in full]
+    files += [("q/permission", "He asked for permission of the king and the people of the land to use the way " + sentence(rng, 80)), ("q/x", "text")]
+    got = {r["path"]: (r["licence"], r["source"], r["from_path"]) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {"MIT", "AGPL-3.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"} <= set(full)
+    for n in full:
+        assert got[f"{n}/project-terms"] == (n, "own", f"{n}/project-terms") and got[f"{n}/src/code"] == (n, "inherited", f"{n}/project-terms"), n
+    assert got["q/permission"] == got["q/x"] == (None, "none", None)
+    docs = spark.createDataFrame([(1, full["MIT"], "en", "s", 0), (2, "x", "en", "s", 0), (None, "y", "en", "s", 0)], SCHEMA)
+    rows = {r["doc_id"]: (r["licence"], r["source"]) for r in licences.scan_documents(docs).collect()}
+    assert rows == {1: ("MIT", "own"), 2: ("MIT", "inherited"), None: (None, "none")}
+
+
 def test_queries_run(spark, sf_dir):
     import corpus_pipeline
 
