@@ -147,6 +147,21 @@ def test_loose_blocks_beside_a_main_element(spark):
     assert got == want
 
 
+def test_large_hosts_are_dealt_by_what_enters_the_groups(spark, monkeypatch):
+    rng = random.Random(17)
+    monkeypatch.setattr(html_main, "GROUP_TOKENS", 200)
+    bar = sentence(rng, 12)
+    own = [f"page{i} {sentence(rng, 27)}" for i in range(40)]  # no run of the bar and a first word is shared
+    mains = [["main"] if i else [] for i in range(40)]  # a single page without a main element
+    rows = [(i, "u", "h.org", f"{bar} {t}".split(), m, [0] * len(m)) for i, (t, m) in enumerate(zip(own, mains, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, stream array<string>, mains array<string>, places array<int>")
+    groups = html_main.salted(pages).groupBy("salt").count().collect()
+    assert len(groups) > 8 and max(g["count"] for g in groups) * 40 <= 2 * 200
+    html = [(i, f"http://h.org/{i}", f"<p>{bar}</p><p>{t}</p>" + (f"<main>{m[0]}</main>" if m else "")) for i, (t, m) in enumerate(zip(own, mains, strict=True))]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(html, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([t, *m]) for i, (t, m) in enumerate(zip(own, mains, strict=True))}
+
+
 def test_distinct_windows():
     rng = random.Random(6)
     streams = [(i, [rng.choice("ab") for _ in range(rng.randint(0, 30))]) for i in range(5)]
