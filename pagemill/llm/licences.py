@@ -77,7 +77,7 @@ def whole_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
     spark = like.sparkSession
     words = _words("text")
     pairs = F.explode(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))).alias("pair")
-    keyed = like.filter(F.col("path").isNotNull()).withColumn("key", F.sha2("text", 256))
+    keyed = like.withColumn("key", F.sha2("text", 256))
     # Equal texts are one vector.
     counted = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     counts = counted.select("key", "n", pairs).groupBy("key", "n", "pair").agg(F.count("*").alias("tf"))
@@ -100,12 +100,17 @@ def whole_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
     return keyed.select("path", "key").join(best, "key").groupBy("path").agg(F.min("m").alias("m")).select("path", F.col("m.licence").alias("licence"), (-F.col("m.minus")).alias("score"))
 
 
-def header_matches(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """path, licence, score, is_file of the files with a header like a template; the best one, ties by licence name."""
-    spark = files.sparkSession
-    lines = files.select("path", F.length("text").alias("chars"), F.explode(F.split("text", r"\R")).alias("line")).filter(F.col("line").rlike(HEADER))
+def header_lines(like: DataFrame) -> DataFrame:
+    """path, chars (of the text), key (of the text) and line: the lines of (path, text) that speak of a licence."""
+    lines = like.select("path", F.length("text").alias("chars"), F.xxhash64("text").alias("key"), F.explode(F.split("text", r"\R")).alias("line")).filter(F.col("line").rlike(HEADER))
     # A header line may stand in a long line of prose: its sentence is what is compared.
-    lines = lines.select("path", "chars", F.explode(F.split("line", r"(?<=[.!?;])\s+(?=[A-Z])")).alias("line")).filter(F.col("line").rlike(HEADER))
+    return lines.select("path", "chars", "key", F.explode(F.split("line", r"(?<=[.!?;])\s+(?=[A-Z])")).alias("line")).filter(F.col("line").rlike(HEADER))
+
+
+def header_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
+    """path, licence, score, is_file of the files with a header like a template; the best one, ties by licence name."""
+    spark = like.sparkSession
+    lines = staged(header_lines(like), "headers")
     rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
     templates = spark.createDataFrame(rows, "licence string, form int, line string")
     # Equal lines are one vector.
@@ -122,31 +127,37 @@ def header_matches(files: DataFrame, least: float = LEAST) -> DataFrame:
     dots = a.join(F.broadcast(b), "word").groupBy("line", "licence", "form").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = dots.join(norms, "line").join(F.broadcast(sizes), ["licence", "form"]).select("line", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 9).alias("score"))
     best = cosine.filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("m"))
-    found = lines.join(best, "line").groupBy("path").agg(
-        F.min("m").alias("m"), (F.sum(F.length("line")) >= SHARE * F.max("chars")).alias("mostly")
-    )
+    found = lines.join(best, "line").groupBy("path", "key").agg(F.min("m").alias("m"), (F.sum(F.length("line")) >= SHARE * F.max("chars")).alias("mostly"))
+    found = found.groupBy("path").agg(F.min("m").alias("m"), F.max("mostly").alias("mostly"))
     return found.select("path", F.col("m.licence").alias("licence"), (-F.col("m.minus")).alias("score"), (F.col("mostly") | F.col("path").rlike(FILE_NAME)).alias("is_file"))
 
 
+def parent(path) -> F.Column:
+    """The directory of a path; that of the root is empty."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """path, licence, score, source (own, inherited or none) and from_path of every file (path, text).
 
-    Paths are expected to be unique; rows with a null path are none. Null and empty texts have no licence of their own. Of a
-    directory's licence files the best-scoring counts, ties by path.
+    Paths are expected to be unique: repeated rows count once and get the same result each; of several texts under a path
+    the best match counts. Rows with a null path have no licence and pass none on. Null and empty texts have no licence of
+    their own; lines are compared whole, however long. Of a directory's licence files the best-scoring counts, ties by path;
+    the root directory's are everyone's.
     """
-    like = staged(files.select("path", "text").filter(F.col("text").rlike(LIKE)), "licences")
+    texts = files.select("path", "text").filter(F.col("path").isNotNull() & F.col("text").rlike(LIKE))
+    like = staged(texts.withColumn("key", F.xxhash64("text")).dropDuplicates(["path", "key"]).drop("key"), "licences")
     headers, whole = header_matches(like, least), whole_matches(like, least)
     # What a text is as a whole counts before its lines.
     found = headers.withColumn("level", F.lit(1)).unionByName(whole.withColumns({"is_file": F.lit(True), "level": F.lit(0)}))
-    found = found.groupBy("path").agg(F.min(F.struct("level", "licence", "score", "is_file")).alias("f")).select("path", "f.licence", "f.score", "f.is_file")
-    parent = lambda p: F.regexp_replace(p, r"/[^/]*$", "")
-    given = found.filter("is_file").groupBy(parent("path").alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "licence")).alias("g"))
-    dirs = files.select(parent("path").alias("home")).filter("home is not null").distinct()
+    found = staged(found.groupBy("path").agg(F.min(F.struct("level", "licence", "score", "is_file")).alias("f")).select("path", "f.licence", "f.score", "f.is_file"), "found")
+    given = found.filter("is_file").groupBy(parent(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "licence")).alias("g"))
+    dirs = files.filter("path is not null").select(parent(F.col("path")).alias("home")).distinct()
     steps = F.split("home", "/")
-    above = dirs.select("home", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"))
+    above = dirs.select("home", F.explode(F.sequence(F.lit(0), F.when(F.col("home") == "", 0).otherwise(F.size(steps)))).alias("depth"))
     above = above.withColumn("dir", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(given, "dir").groupBy("home").agg(F.max_by("g", "depth").alias("g"))
-    rows = files.select("path", parent("path").alias("home")).join(found.drop("is_file"), "path", "left").join(nearest, "home", "left")
+    rows = files.select("path", parent(F.col("path")).alias("home")).join(found.drop("is_file"), "path", "left").join(nearest, "home", "left")
     own = F.col("licence").isNotNull()
     return rows.select(
         "path",
