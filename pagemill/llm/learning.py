@@ -14,9 +14,9 @@ def remainder(doc_id: Column, n: int) -> Column:
 def training_ids(labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """doc_id and label of labelled rows outside the held-out fold; above ``most`` rows, an even share of them by hash.
 
-    Null ids and labels are left out; of a document's several labels the largest counts.
+    Null ids and labels other than 0 and 1 are left out; of a document's several labels the largest counts.
     """
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = rows.count()
     if n > most:
