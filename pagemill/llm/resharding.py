@@ -65,7 +65,8 @@ def reshard(
     """Add shard and slot to rows that have their old shard's number and their size.
 
     Only one total per old shard, and per old and new shard, reaches the driver. A row goes where the middle of its bytes
-    falls; slots number the rows of a new shard from 0 without gaps. Repeated rows each get their own slot.
+    falls; slots number the rows of a new shard from 0 without gaps. Repeated rows each get their own slot. Other columns
+    stay, so whole rows can be placed for rewrite_affected(), or slim ones for a plan.
     """
     spark = rows.sparkSession
     ranked = staged(with_rank(rows, [old], list(order), max(16, shuffle_width(spark)), rank="_rank", running=(size, "_before")), "ranked")
@@ -93,20 +94,27 @@ def reshard(
     return placed.withColumn("slot", slot.cast("long")).drop("_rank", "_before")
 
 
-def rewrite_affected(rows: DataFrame, placed: DataFrame, path: str, key: str = "doc_id", old: str = "old_shard") -> list[int]:
-    """Write the new files of every shard that loses or gains rows to path/shard=N; returns those shards.
+def rewrite_affected(placed: DataFrame, path: str, old: str = "old_shard", rows_per_file: int = 1_000_000) -> list[int]:
+    """Write the new files of every shard that loses or gains rows to the new folder path/shard=N; returns those shards.
 
-    ``placed`` is reshard()'s result. Shards whose rows all stay are not written again.
+    ``placed`` is reshard()'s result over whole rows, all columns of which are written, with their slots: every row once,
+    repeated rows and null ids too. A shard that loses all its rows is returned but has no files. Shards whose rows all stay
+    are not written again. Files are ranges of slots, so a large shard is several tasks' work. The folder must be new, so
+    that neither the old files nor those of a run that failed are mistaken for these.
     """
-    moved = placed.filter(F.col(old) != F.col("shard"))
-    touched = sorted({x for r in moved.select(old, "shard").distinct().collect() for x in r})
-    whole = rows.join(placed.filter(F.col("shard").isin(touched)).select(key, "shard", "slot"), key)
-    whole.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    moves = placed.filter(~F.col(old).eqNullSafe(F.col("shard"))).select(old, "shard").distinct().collect()
+    touched = sorted({x for r in moves for x in r if x is not None})
+    whole = placed.filter(F.col("shard").isin(touched)).withColumn("_file", F.floor(F.col("slot") / rows_per_file))
+    whole.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.partitionBy("shard").parquet(path)
     return touched
 
 
 def reshard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """The columns of op6. The old shards come from the sources (crc32 of source modulo the number of shards; null: 0)."""
+    """The columns of op6. The old shards come from the sources (crc32 of source modulo the number of shards; null: 0).
+
+    Null texts have size 1 and the crc32 of the empty text; rows with a null id, and repeated rows, each get a slot of their
+    own; an empty table gives no rows.
+    """
     rows = docs.select(
         F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
