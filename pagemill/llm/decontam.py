@@ -3,19 +3,21 @@
 An item of m characters may differ from a passage by e = floor(rate * m) edits. Cut into e + 1 pieces, at least one piece
 of it then stands unharmed in the passage: an automaton over all pieces finds every exact hit in one pass over a text, the
 hits of an item on neighbouring diagonals name a window, and Myers' bit-parallel distance decides it.
+
+Items of fewer than LEAST characters ("Yes") stand in texts that never saw the benchmark: only a text that is such an item
+as a whole holds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits per character of an item, and the characters of items that one pass over the documents looks for.
-RATE, BLOCK_CHARS = 0.08, 32_000_000
+#: Edits per character of an item, the characters of items that one pass over the documents looks for, and of the shortest item.
+RATE, BLOCK_CHARS, LEAST = 0.08, 32_000_000, 20
 
 
 def normal(text: str | None) -> str:
@@ -60,31 +62,38 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[int, str], ...], rate: float):
-    import ahocorasick
+class Items:
+    """The items (id, normal text) of a block with the automaton over all their pieces; made once a task."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float):
+        import ahocorasick
 
-    words: dict[str, list[tuple[int, int]]] = {}
-    for i, (_, text) in enumerate(items):
-        for at, piece in pieces(text, budget(len(text), rate)):
-            words.setdefault(piece, []).append((i, at))
-    found = ahocorasick.Automaton()
-    for w, where in words.items():
-        found.add_word(w, (len(w), where))
-    found.make_automaton()
-    return found
+        self.items, self.rate = items, rate
+        self.short: dict[str, list[int]] = {}
+        words: dict[str, list[tuple[int, int]]] = {}
+        for i, (_, text) in enumerate(items):
+            if len(text) < LEAST:
+                self.short.setdefault(text, []).append(i)
+                continue
+            for at, piece in pieces(text, budget(len(text), rate)):
+                words.setdefault(piece, []).append((i, at))
+        self.found = ahocorasick.Automaton()
+        for w, where in words.items():
+            self.found.add_word(w, (len(w), where))
+        self.found.make_automaton()
+        self.any = bool(words)
 
 
-def leaks_in(text: str, items: tuple[tuple[int, str], ...], rate: float) -> list[tuple[int, int, int, int]]:
+def leaks_in(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     """(index of the item, distance, start, end) of the best passage for each item that the text holds."""
     diagonals: dict[int, set[int]] = {}
-    for end, (length, where) in _automaton(items, rate).iter(text):
+    for end, (length, where) in items.found.iter(text) if items.any else ():
         for i, at in where:
             diagonals.setdefault(i, set()).add(end + 1 - length - at)
-    out = []
+    out = [(i, 0, 0, len(text)) for i in items.short.get(text, ())]
     for i, starts in diagonals.items():
-        item = items[i][1]
-        errors = budget(len(item), rate)
+        item = items.items[i][1]
+        errors = budget(len(item), items.rate)
         best = None
         ordered = sorted(starts)
         while ordered:
@@ -102,36 +111,42 @@ def leaks_in(text: str, items: tuple[tuple[int, str], ...], rate: float) -> list
     return out
 
 
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items (id, normal text) that aren't null or blank, in blocks of about ``block_chars`` characters."""
+    items = items.select(F.col("item_id").cast("long"), "text").filter(F.length(F.trim("text")) > 0).dropDuplicates()
+    blocks = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars + 1
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator()
+        chosen = sorted((r["item_id"] if r["item_id"] is not None else -1, normal(r["text"])) for r in own)
+        if chosen:
+            yield chosen
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end: the best passage of each item in each document, in the normal text.
 
     Texts are lower-cased and their white space made single. Whole texts are searched. Null or blank items match nothing,
-    null documents hold nothing; repeated rows repeat the result. Items are looked for in blocks of at most
-    ``block_chars`` characters, each block in one pass over the documents, so what a task holds is bounded.
+    null documents hold nothing; repeated rows repeat the result; an item without an id is -1. Items are looked for in blocks
+    of at most ``block_chars`` characters, each block in one pass over the documents, so what a task holds is bounded.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), "text").filter(F.length(F.trim("text")) > 0).dropDuplicates()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = chars // block_chars + 1
     schema = "doc_id long, item_id long, distance int, start int, end int"
-    out = spark.createDataFrame([], schema)
+    out = None
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator()
-        chosen = tuple(sorted((r["item_id"], normal(r["text"])) for r in own))
-        if chosen:
-            out = source.mapInArrow(_searcher(chosen, rate), schema) if blocks == 1 else out.unionByName(source.mapInArrow(_searcher(chosen, rate), schema))
-    return out
+    for chosen in _blocks(items, block_chars):
+        found = source.mapInArrow(_searcher(chosen, rate), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _searcher(chosen: tuple[tuple[int, str], ...], rate: float):
+def _searcher(chosen: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+        items = Items(chosen, rate)
         for batch in batches:
             rows = [
                 (doc, chosen[i][0], distance, start, end)
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                for i, distance, start, end in leaks_in(normal(text.as_py()), chosen, rate)
+                for i, distance, start, end in leaks_in(normal(text.as_py()), items)
             ]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], names=[n for n, _ in types])
@@ -139,6 +154,18 @@ def _searcher(chosen: tuple[tuple[int, str], ...], rate: float):
     return run
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item."""
-    return docs.join(find_leaks(docs, items, rate).select(F.col("doc_id").alias("_pagemill_id")).distinct(), F.col("doc_id") == F.col("_pagemill_id"), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no item, with all their columns; a row's own text decides, whatever its id."""
+    at = docs.columns.index("text")
+
+    def keeper(chosen: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(chosen, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not leaks_in(normal(t.as_py()), items) for t in batch.column(at)], pa.bool_()))
+
+        return run
+
+    for chosen in _blocks(items, block_chars):
+        docs = docs.mapInArrow(keeper(chosen), docs.schema)
+    return docs
