@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, with DataFrame functions alone.
 
-A text is cut into words (over-long words into runs of at most 16 characters). Its k-mers of words are numbered by
-occurrence, so that a k-mer's second copy is another element than its first. One hash ranks all elements; its top bits
+A text is cut into units: words, single characters of scripts that put no spaces between words, and pieces of over-long
+words, which end where their characters say, not at fixed places; so an edit changes the units near it only. Its k-mers of
+units are numbered by occurrence, so that a k-mer's second copy is another element than its first. One hash ranks all elements; its top bits
 deal them to 2 ** ``slot_bits`` slots, and each slot keeps its two minimal elements. Those are put back in text order
 and the ordered pair is hashed: a slot agrees between two texts when they share the elements and their order, which
 follows edit distance rather than set overlap. Every slot uses the one hash, so a text is hashed once, not once a slot.
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import shuffle_width
 
-K, SLOT_BITS, UNIT = 3, 6, r"\S{1,16}"
+# Code points of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, CJK ideographs).
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
+WITHIN = rf"[^\s{UNSPACED}]"
+#: A character of an unspaced script; a word of at most 16 characters; a piece of a longer one, up to a vowel, digit or sign.
+UNIT = rf"[{UNSPACED}]|{WITHIN}{{1,16}}+(?!{WITHIN})|{WITHIN}{{1,15}}?[aeiouAEIOU0-9+/=_-]|{WITHIN}{{1,16}}"
+K, SLOT_BITS = 3, 6
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 
@@ -97,34 +103,44 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, WindowSpec]:
-    """Rows dealt to ranges of the key (column _part), each range followed by the next lower range's first row (_guest).
+    """Rows dealt to ranges (column _part), each range followed by the next one's first row (_guest).
 
-    The row after the last is the first. Returns the rows and the window in which lead() finds a row's successor. Ranges
-    follow the key's quantiles, so only their bounds and first keys, as many as shuffle partitions, reach the driver.
-    Rows with the same key are ordered by their texts' hashes; null keys come last.
+    Rows stand in descending order of the key, rows with the same key by their texts' hashes, null keys last; the row after
+    the last is the first. Ranges follow the key's quantiles, and for null keys even shares of the hashes, so only their
+    bounds and first rows, as many as shuffle partitions, reach the driver. Returns the rows and the window in which lead()
+    finds a row's successor.
     """
-    width = shuffle_width(docs.sparkSession)
+    spark = docs.sparkSession
+    width = shuffle_width(spark)
     at = [i / width for i in range(1, width)]
     found = docs.agg(F.percentile_approx(key, at, 10000)).first()[0] if at else None
     bounds = sorted(set(found or []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    part = F.when(F.col(key).isNull(), -1).otherwise(part).cast("int")
-    heads = {r["p"]: r["k"] for r in docs.groupBy(part.alias("p")).agg(F.max(key).alias("k")).collect()}
+    above = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    hashed = docs.withColumn("_h", F.xxhash64(text))
+    share = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 32) * F.lit(width) / F.lit(1 << 32)
+    rows = hashed.withColumn("_own", F.when(F.col(key).isNull(), -1 - F.floor(share)).otherwise(above).cast("int"))
+    # A range's first row: the largest key, of those the least hash (bitwise not turns the order of hashes round).
+    first = F.max(F.struct(F.col(key), F.bitwise_not("_h"))).alias("first")
+    heads = {r["_own"]: r["first"] for r in rows.groupBy("_own").agg(first).collect()}
     down = sorted(heads, reverse=True)
-    host = F.lit(None).cast("int")
-    for p, before in zip(down, [*down[-1:], *down], strict=False):
-        host = F.when((F.col("_own") == p) & F.col(key).eqNullSafe(F.lit(heads[p]).cast("long")), before).otherwise(host)
+    guests = [(before, heads[p][0], ~heads[p][1]) for p, before in zip(down, [*down[-1:], *down], strict=False)]
+    columns = [F.lit([g[i] for g in guests]).cast("array<bigint>").alias(n) for i, n in enumerate(("_host", "_key", "_hash"))]
+    hosts = F.broadcast(spark.range(1).select(F.inline(F.arrays_zip(*columns))))  # a row a range
+    met = rows.join(hosts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left")
     place = lambda p, guest: F.struct(p.alias("_part"), F.lit(guest).alias("_guest"))
-    dealt = docs.withColumn("_own", part).withColumn("_host", host)
     both = F.when(F.col("_host").isNull(), F.array(place(F.col("_own"), False))).otherwise(
-        F.array(place(F.col("_own"), False), place(F.col("_host"), True))
+        F.array(place(F.col("_own"), False), place(F.col("_host").cast("int"), True))
     )
-    dealt = dealt.withColumn("_place", F.explode(both)).select(*docs.columns, "_place.*", F.xxhash64(text).alias("_h"))
+    dealt = met.withColumn("_place", F.explode(both)).select(*docs.columns, "_place.*", "_h")
     return dealt, Window.partitionBy("_part").orderBy("_guest", F.desc_nulls_last(key), "_h")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """The columns of op1: fingerprints of each text and its edited text, and their likeness."""
+    """The columns of op1: fingerprints of each text and its edited text, and their likeness.
+
+    Null texts are empty. Rows with the same id follow each other by their texts' hashes, repeated rows included, each with a
+    result; rows with a null id come last. A single row is its own successor; an empty table gives no rows.
+    """
     rows, order = with_successor(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     seen = rows.withColumn("_next", F.lead("text").over(order))
