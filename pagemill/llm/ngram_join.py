@@ -10,6 +10,10 @@ only while the sets under them could overlap enough. Surviving pairs are compare
 Texts are the bulk of what travels, so a block first gets sketches of its sets: bit b is the parity of the elements that fall
 on b. Sketches differ in at most as many bits as the sets differ in elements, so a set whose sketch is too far from all others
 of its block links with none there, and its text isn't sent.
+
+A block too large for one task is dealt to tiles. First the sets of a tile meet each other and a few pivots that all tiles
+get, which makes near copies one component. Then only the sets outside the block's largest component go to every tile: what
+is connected needn't meet again, so a cluster that holds a third of all documents costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import shuffle_width, staged
 from pagemill.llm.components import components
 
-#: Words of a shingle; the least Jaccard similarity as a fraction; bits of the table of counts; shingles of a tile.
-WORDS, NUM, DEN, TABLE_BITS, TILE = 4, 85, 100, 17, 4_000_000
+#: Words of a shingle; the least Jaccard similarity as a fraction; bits of the table of counts; shingles of a tile; sets that all tiles of a block get.
+WORDS, NUM, DEN, TABLE_BITS, TILE, PIVOTS = 4, 85, 100, 17, 4_000_000, 32
 #: Bytes that are hashed at once; bits of a signature; children of a tree node.
 SLICE, SIGNATURE, FANOUT = 2_000_000, 1024, 8
 
@@ -282,29 +286,34 @@ def without_contained(pairs: DataFrame) -> DataFrame:
     return pairs.join(inside, "leader", "left_anti")
 
 
-def may_link(n: np.ndarray, own: list[bytes], num: int, den: int) -> np.ndarray:
+def may_link(n: np.ndarray, own: list[bytes], num: int, den: int, root: np.ndarray | None = None, ask: np.ndarray | None = None) -> np.ndarray:
     """Whether some other set of a block may link with this one, by sizes (n) and sketches. Exact: no link is lost.
 
+    Sets of one ``root`` are connected already and needn't meet. With ``ask`` only pairs that have such a set count.
+
     Sets that link have sketches of one width or of neighbouring ones; the wider is folded. Neighbours are tried first, so near
     copies, side by side in the block, cost one comparison each; only sets still alone are compared with all of fitting size.
     """
     found = np.zeros(len(n), bool)
+    root = np.arange(len(n)) if root is None else root
+    ask = np.ones(len(n), bool) if ask is None else ask
     width = np.array([len(x) for x in own])
     for w in np.unique(width):
         at = np.flatnonzero((width == w) | (width == 2 * w))
         words = np.stack([x[: w // 8] ^ x[w // 8 :] if len(x) > w // 8 else x for x in (np.frombuffer(own[i], np.uint64) for i in at)])
-        size = n[at]
+        size, of, asks = n[at], root[at], ask[at]
 
-        def near(x: np.ndarray, y: np.ndarray, words: np.ndarray = words, size: np.ndarray = size) -> np.ndarray:
+        def near(x: np.ndarray, y: np.ndarray, words: np.ndarray = words, size: np.ndarray = size, of: np.ndarray = of, asks: np.ndarray = asks) -> np.ndarray:
             differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=-1, dtype=np.int64)
-            fits = den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])
+            fits = (of[x] != of[y]) & (asks[x] | asks[y]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
             return fits & ((den + num) * differ <= (den - num) * (size[x] + size[y]))
 
         i = np.arange(len(at) - 1)
         beside = near(i, i + 1)
         found[at[:-1][beside]] = found[at[1:][beside]] = True
         by_size = np.argsort(size, kind="stable")
-        ordered, alone = size[by_size], by_size[~found[at[by_size]]]
+        # Who asks looks through all of fitting size, unless a neighbour was found and all ask: then whom it meets has been sent.
+        ordered, alone = size[by_size], by_size[asks[by_size] & ~(found[at[by_size]] & asks.all())]
         step = max(1, 16_000_000 // (len(at) * int(w)))
         for s in range(0, len(alone), step):
             x = alone[s : s + step]
@@ -317,26 +326,26 @@ def may_link(n: np.ndarray, own: list[bytes], num: int, den: int) -> np.ndarray:
 
 
 def _send(num: int, den: int):
-    """Over rows (leader, i, j, rep, n, sketch) sorted by block: the rows whose texts the block needs."""
-    names = ["leader", "i", "j", "doc_id"]
+    """Over rows (leader, tile, rep, n, sketch, root, outside) sorted by block: the rows whose texts the block needs."""
+    names, types = ["leader", "tile", "doc_id", "root"], (pa.int64(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def result() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                keep = may_link(np.array([r[1] for r in rows]), [r[2] for r in rows], num, den)
-                ids = [r[0] for r, k in zip(rows, keep, strict=True) if k]
-                if ids:
-                    cols = [[c] * len(ids) for c in key]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, ids], (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=names)
+                rep, n, sketch, root, outside = zip(*rows, strict=True)
+                keep = may_link(np.array(n), list(sketch), num, den, np.array(root), np.array(outside))
+                sent = [(*key, d, r) for d, r, k in zip(rep, root, keep, strict=True) if k]
+                if sent:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
-            for *own, rep, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *own, rep, n, sketch, root, outside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
                     yield from result()
                     key, rows = own, []
-                rows.append((rep, n, sketch))
+                rows.append((rep, n, sketch, root, outside))
         yield from result()
 
     return run
@@ -367,10 +376,13 @@ class SignatureTree:
         most = np.minimum(np.minimum(common + extra[a], common + extra[b]), np.minimum(hi[a], hi[b]))
         return (den + num) * most >= num * (np.maximum(lo[a], most) + np.maximum(lo[b], most))
 
-    def links(self, num: int, den: int) -> list[tuple[int, int]]:
-        """Links that connect what belongs together: pairs that are connected already aren't compared again."""
+    def links(self, num: int, den: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+        """Links that connect what belongs together: pairs that are connected already (``known``: components so far) aren't compared."""
         n = len(self.sets)
-        root = np.arange(n)
+        root = np.unique([known[i] for i in self.order], return_inverse=True)[1].ravel() if known else np.arange(n)
+        members: dict[int, list[int]] = {}
+        for i, r in enumerate(root.tolist()):
+            members.setdefault(r, []).append(i)
         out: list[tuple[int, int]] = []
 
         def verify(i: int, j: int) -> None:
@@ -380,25 +392,33 @@ class SignatureTree:
             both = len(np.intersect1d(x, y, assume_unique=True))
             if den * both >= num * (len(x) + len(y) - both) and both:
                 out.append((self.order[i], self.order[j]))
-                root[root == root[j]] = root[i]
+                into, of = sorted((int(root[i]), int(root[j])), key=lambda r: -len(members[r]))
+                moved = members.pop(of)  # the smaller component takes the other's name
+                root[moved] = into
+                members[into] += moved
 
         for i in range(n - 1):  # neighbours first: most of a cluster is one component after this
-            if self._may(0, np.array([i]), np.array([i + 1]), num, den)[0]:
+            if root[i] != root[i + 1] and self._may(0, np.array([i]), np.array([i + 1]), num, den)[0]:
                 verify(i, i + 1)
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        uniform: dict[int, tuple[int, np.ndarray]] = {}  # of each level: after how many links, whether a node's sets are one component
         while stack:
             level, a, b = stack.pop()
-            keep = self._may(level, a, b, num, den)
-            a, b = a[keep], b[keep]
             if level == 0:
                 keep = (a < b) & (root[a] != root[b])
+                a, b = a[keep], b[keep]
+                keep = self._may(level, a, b, num, den)
                 for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
                     verify(i, j)
                 continue
+            keep = self._may(level, a, b, num, den)
+            a, b = a[keep], b[keep]
             width = FANOUT**level
-            at = np.arange(0, n, width)
-            one = np.minimum.reduceat(root, at) == np.maximum.reduceat(root, at)
-            done = one[a] & one[b] & (root[at[a]] == root[at[b]])
+            if level not in uniform or uniform[level][0] != len(out):
+                at = np.arange(0, n, width)
+                uniform[level] = len(out), np.minimum.reduceat(root, at) == np.maximum.reduceat(root, at)
+            one = uniform[level][1]
+            done = one[a] & one[b] & (root[a * width] == root[b * width])
             a, b = a[~done], b[~done]
             below = len(self.levels[level - 1][1])
             for s in range(0, len(a), 2048):
@@ -411,34 +431,62 @@ class SignatureTree:
 
 
 def _block_links(k: int, num: int, den: int):
-    """Over rows (leader, i, j, doc_id, text) sorted by block: the links found in each block."""
+    """Over rows (leader, tile, doc_id, root, text) sorted by block: the links found in each block."""
 
-    def links(ids: list[int], texts: list) -> list[tuple[int, int]]:
+    def links(ids: list[int], known: list[int], texts: list) -> list[tuple[int, int]]:
+        if len(ids) < 2:
+            return []
         h, bounds = shingle_sets(pa.array(texts, pa.large_string()), k)
         tree = SignatureTree([h[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
-        return [(ids[x], ids[y]) for x, y in tree.links(num, den)]
+        return [(ids[x], ids[y]) for x, y in tree.links(num, den, known)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, texts, found = None, [], [], []
+        key, ids, known, texts, found = None, [], [], [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            for own, doc, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True))
+            for own, doc, root, text in zip(keys, *(batch.column(c).to_pylist() for c in range(2, 5)), strict=True):
                 if own != key:
-                    found += links(ids, texts) if len(ids) > 1 else []
-                    key, ids, texts = own, [], []
+                    found += links(ids, known, texts)
+                    key, ids, known, texts = own, [], [], []
                 if not ids or ids[-1] != doc:
                     ids.append(doc)
+                    known.append(root)
                     texts.append(text or "")
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
                 found = []
-        found += links(ids, texts) if len(ids) > 1 else []
+        found += links(ids, known, texts)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _met(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) in each block of rows (leader, tile, rep, root, outside). Pairs of one root, or both not outside, may be left out."""
+    width = shuffle_width(docs.sparkSession)
+    rows = rows.join(classes.select("rep", "n", "least", "sketch"), "rep").repartition(width, "leader", "tile").sortWithinPartitions("leader", "tile", "least", "n")
+    sent = rows.select("leader", "tile", "rep", "n", "sketch", "root", "outside").mapInArrow(_send(num, den), "leader long, tile int, doc_id long, root long")
+    texts = sent.join(docs, "doc_id").select("leader", "tile", "doc_id", "root", "text")
+    texts = texts.repartition(width, "leader", "tile").sortWithinPartitions("leader", "tile", "doc_id")
+    return texts.mapInArrow(_block_links(k, num, den), "a long, b long")
+
+
+def _large_blocks(tiled: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links of blocks dealt to tiles: rows (leader, members, tiles, tile, rep)."""
+    every = lambda: F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    pivot = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("members") / PIVOTS)) == 0
+    first = tiled.select("leader", "tile", "rep").union(tiled.filter(pivot).select("leader", every(), "rep")).distinct()
+    near = staged(_met(first.select("leader", "tile", "rep", F.col("rep").alias("root"), F.lit(True).alias("outside")), classes, docs, k, num, den), "near")
+    rooted = tiled.join(components(near), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = staged(rooted.select("leader", "tiles", "tile", "rep", "root"), "rooted")
+    top = rooted.groupBy("leader", "root").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root"))["root"].alias("top"))
+    rooted = rooted.join(top, "leader").withColumn("outside", F.col("root") != F.col("top"))
+    away = rooted.filter("outside").select("leader", every(), "rep", "root", "outside")
+    again = rooted.select("leader", "tile", "rep", "root", "outside").union(away).distinct()
+    return near.union(_met(again, classes, docs, k, num, den))
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents whose sets have num / den of their union in common link.
 
@@ -463,17 +511,15 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     chief = hot.groupBy("h", "b").agg(F.min("rep").alias("leader"), F.min("n").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("c")).filter("c > 1")
     fits = hot.join(chief, ["h", "b"]).filter("lo <= most and n <= hi").select("rep", "leader", "n")
     pairs = staged(pairs.union(fits).distinct(), "pairs")
-    pairs = without_contained(pairs)
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
-    tiled = pairs.join(sizes, "leader").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    # A block too large for one task is dealt to tiles, and every two tiles meet in a task of their own.
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: x != F.col("t"))))
-    tiled = tiled.withColumn("o", other).select("leader", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "rep")
-    tiled = tiled.join(classes.select("rep", "n", "least", "sketch"), "rep").repartition(width, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "least", "n")
-    sent = tiled.select("leader", "i", "j", "rep", "n", "sketch").mapInArrow(_send(num, den), "leader long, i int, j int, doc_id long")
-    rows = sent.join(docs, "doc_id").select("leader", "i", "j", "doc_id", "text")
-    rows = rows.repartition(width, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "doc_id")
-    roots = components(rows.mapInArrow(_block_links(k, num, den), "a long, b long"))
+    pairs = staged(without_contained(pairs), "blocks")
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.count("*").alias("members"))
+    small = pairs.join(sizes.filter("tiles = 1"), "leader").select("leader", F.lit(0).alias("tile"), "rep", F.col("rep").alias("root"), F.lit(True).alias("outside"))
+    links = _met(small, classes, docs, k, num, den)
+    large = sizes.filter("tiles > 1")
+    if large.take(1):
+        tiled = staged(pairs.join(large, "leader").select("leader", "members", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep"), "tiled")
+        links = links.union(_large_blocks(tiled, classes, docs, k, num, den))
+    roots = components(links)
     reps = digests(docs, k).join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
     out = reps.join(roots, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
