@@ -147,6 +147,34 @@ def test_removal(spark, monkeypatch, slice_bytes):
     assert got == brute_removed(list(enumerate(texts)))
 
 
+def test_removal_of_frequent_passages(spark, monkeypatch):
+    """Salted blocks, whose parts meet in a second round, lose nothing; nor do pieces of long texts."""
+    for name, value in (("COMMON", 4), ("SLICE", 900), ("BUCKET", 300)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    texts = [*corpus(9, 150), *corpus(9, 30), "ab" * 300]
+    docs = frame(spark, texts).repartition(3)
+    plain = docs.selectExpr("doc_id", "xxhash64(text) key", "text").filter("text is not null")
+    assert len(suffix_dedup.frequent_grams(plain, 50, suffix_dedup.GRAM)[0].grams) > 3
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.removal_digests(docs).collect()}
+    assert got == brute_removed(list(enumerate(texts)))
+
+
+def test_minimisers_of_pieces(monkeypatch):
+    data = np.frombuffer(sentence(random.Random(3), 900).encode(), np.uint8)
+    whole = suffix_dedup.minimisers(data)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    parts = suffix_dedup.minimisers(data)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_removal_with_one_id_twice(spark):
+    a, b = ("eine erste Stelle, die länger als fünfzig Bytes ist, steht hier", "a second passage of more than fifty bytes stands in two rows")
+    rows = [(1, f"{a} x"), (7, f"y {a}"), (7, f"z {b}"), (8, f"{b} q"), (7, f"y {a}")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n, m = len(a.encode()), len(b.encode())
+    assert got == sorted([(1, n + 2, 0), (7, n + 2, n), (7, n + 2, n), (7, m + 2, 0), (8, m + 2, m)])
+
+
 def test_removal_of_odd_rows(spark):
     assert suffix_dedup.removal_digests(spark.createDataFrame([], SCHEMA)).count() == 0
     t = "a passage that is longer than fifty bytes stands in each of these rows"
@@ -202,6 +230,14 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 4, 5, 6]
 
 
+def test_short_items_and_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (1, "Yes"), (None, "a longer item without any id, to be found"), (3, "")], "item_id long, text string")
+    rows = [(1, "yesterday was fine", "x"), (2, " YES ", "x"), (None, "say: A longer item without any id, to be fuond.", "x"), (None, "clean", "x"), (5, "long " * 100_000, "x"), (5, "long " * 100_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_leaks(docs, bench).collect()), key=str) == [(2, 1, 0), (None, -1, 2)]
+    assert [(r["doc_id"], r["text"][:5]) for r in decontam.drop_leaks(docs, bench, block_chars=20).orderBy("text").collect()] == [(None, "clean"), (5, "long "), (5, "long "), (1, "yeste")]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(3)
     items = [(i, sentence(rng, rng.randint(3, 8))) for i in range(6)]
@@ -236,6 +272,86 @@ def test_order_minhash(spark):
     assert near[0, 5] == 0
 
 
+def brute_codes(text, k=omh.K, bits=omh.SLOT_BITS):
+    """Order MinHash of a text in plain Python, with the hashes of Spark's xxhash64."""
+    import struct
+
+    import regex
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*parts):
+        h = 42
+        for p in parts:
+            if p is not None:
+                h = xxhash.xxh64_intdigest(p, seed=h)
+        return signed(h)
+
+    units = regex.findall(regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08X}", omh.UNIT), text or "")
+    units = [u.encode() for u in units]
+    ordered = sorted(chain(*(units[i + j] if i + j < len(units) else None for j in range(k))) & ~omh.PLACE | i for i in range(len(units)))
+    first, ranked = {}, []
+    for j, e in enumerate(ordered):
+        kmer = e >> omh.PLACE_BITS
+        first.setdefault(kmer, j)
+        ranked.append(chain(struct.pack("<q", kmer), struct.pack("<i", j - first[kmer])) & ~omh.PLACE | e & omh.PLACE)
+    by_slot = {}
+    for e in sorted(ranked):
+        by_slot.setdefault((e % (1 << 64)) >> (64 - bits), []).append(e)
+    codes = set()
+    for slot, own in by_slot.items():
+        pair = [struct.pack("<q", e >> omh.PLACE_BITS) for e in sorted(own[:2], key=lambda e: e & omh.PLACE)]
+        codes.add(slot << 16 | chain(*pair) % 65536)
+    return codes
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(8)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300))
+    texts = [*corpus(10, 40), "x" * 900, cjk, "ภาษาไทย" * 9, "a b c a b c a b c " * 40, "Donaudampfschifffahrtsgesellschaft " * 3, "".join(rng.choice("abcdefgh0123+/") for _ in range(2000))]
+    ids = [5 * i + 1 for i in range(len(texts))]
+    got = {r["doc_id"]: r for r in omh.fingerprint_edits(frame(spark, texts, ids)).collect()}
+    for i, t in zip(ids, texts, strict=True):
+        t, following = t or "", texts[(i - 1) // 5 - 1] or ""
+        half = len(t) // 2
+        own, edited, other = brute_codes(t), brute_codes(t[: len(t) - half] + following[:half]), brute_codes(following)
+        row = got[i]
+        assert {int(row["fingerprint"][a : a + 6], 16) for a in range(0, len(row["fingerprint"]), 6)} == own
+        assert {int(row["edited_fingerprint"][a : a + 6], 16) for a in range(0, len(row["edited_fingerprint"]), 6)} == edited
+        for likeness, codes in ((row["near_edited"], edited), (row["near_next"], other)):
+            slots = {c >> 16 for c in own | codes}
+            assert likeness == (len(own & codes) / len(slots) if slots else 1.0)
+
+
+def test_fingerprints_of_unspaced_texts(spark):
+    rng = random.Random(9)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2000))
+    code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(4000))
+    texts = [cjk, "一" + cjk, "x", code, "Q" + code]
+    got = {r["doc_id"]: r["near_next"] for r in omh.fingerprint_edits(frame(spark, texts)).collect()}
+    assert got[1] > 0.9 and got[4] > 0.9
+
+
+def test_successors_over_many_ranges(spark):
+    """More ranges than rows, equal ids and many null ones: each row is followed by the next one."""
+    rng = random.Random(10)
+    rows = [(rng.choice([*[None] * 20, *range(30)]), sentence(rng, 3)) for _ in range(120)]
+    rows += rows[:4]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        dealt, order = omh.with_successor(spark.createDataFrame(rows, "doc_id long, text string"))
+        parts = [r["_part"] for r in dealt.filter("doc_id is null").select("_part").distinct().collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        seen = dealt.withColumn("next", F.lead("text").over(order)).filter("not _guest").select("doc_id", "text", "next", F.xxhash64("text").alias("h")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(parts) > 10
+    ordered = sorted(seen, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    assert Counter((r["text"], r["next"]) for r in seen) == Counter((a["text"], b["text"]) for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+
+
 def test_fingerprint_edits(spark):
     texts = [t for t in corpus(7) if t is None or len(t) < 5000]
     got = {r["doc_id"]: r for r in omh.fingerprint_edits(clash(frame(spark, texts, [3 * i for i in range(len(texts))]))).collect()}

@@ -51,6 +51,36 @@ def test_plan_uses_every_piece(seed):
     assert used == histogram
 
 
+def least_bins(pieces, room):
+    """The fewest bins by trying all."""
+    best = [len(pieces)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(bins)
+            return
+        for k in {b: j for j, b in enumerate(bins)}.values():
+            if bins[k] + pieces[i] <= room:
+                put(i + 1, [*bins[:k], bins[k] + pieces[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_plan_is_near_the_fewest(seed):
+    rng = random.Random(seed)
+    pieces = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+    histogram = {x: pieces.count(x) for x in pieces}
+    assert sum(times for _, times in packing.plan_patterns(histogram, 20)) <= least_bins(pieces, 20) + 1
+    many = {x: rng.randint(50, 400) for x in range(3, 101)}
+    used, bound = sum(times for _, times in packing.plan_patterns(many, 100)), -(-sum(x * n for x, n in many.items()) // 100)
+    assert bound <= used <= 1.06 * bound  # the volume bound, which no packing need reach
+
+
 def test_plan_finds_exact_fillings():
     assert sum(t for _, t in packing.plan_patterns({60: 5, 40: 5, 50: 2, 30: 1, 20: 1}, 100)) == 7
     assert packing.plan_patterns({}, 100) == []
@@ -96,9 +126,25 @@ def test_shards(spark, tmp_path):
     assert sorted(shards) == list(range(8)) and all(sorted(r["slot"] for r in s) == list(range(len(s))) for s in shards.values())
     sizes = [sum(r["size"] for r in s) for s in shards.values()]
     assert max(sizes) - min(sizes) <= 4 * max(r["size"] for r in rows)
-    placed = spark.createDataFrame([(r["doc_id"], r["old_shard"], r["shard"], r["slot"]) for r in rows], "doc_id long, old_shard int, shard int, slot long")
-    touched = resharding.rewrite_affected(docs.select("doc_id", "text"), placed, str(tmp_path / "new"))
-    assert spark.read.parquet(str(tmp_path / "new")).count() == sum(r["shard"] in touched for r in rows)
+
+
+def test_rewritten_shards_hold_every_row_once(spark, tmp_path):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(rng.choice([None, None, 1, 2, *range(10, 40)]), sentence(rng, rng.randint(0, 9)), rng.choice([0, 0, 0, 1, 2])) for _ in range(200)]
+    rows += [rows[0]] * 20 + [(None, None, 3)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    placed = resharding.reshard(docs, 5, order=("doc_id", "text"))
+    touched = resharding.rewrite_affected(placed, str(tmp_path / "new"), rows_per_file=7)
+    written = spark.read.parquet(str(tmp_path / "new")).select("doc_id", "text", "old_shard", "shard", "slot").collect()
+    stayed = [r for r in placed.collect() if r["shard"] not in touched]
+    assert Counter((r["doc_id"], r["text"], r["old_shard"]) for r in [*written, *stayed]) == Counter(rows)
+    for shard in range(5):
+        slots = sorted(r["slot"] for r in [*written, *stayed] if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
 
 
 def test_shards_of_odd_rows(spark):
@@ -147,19 +193,113 @@ def test_loose_blocks_beside_a_main_element(spark):
     assert got == want
 
 
-def test_large_hosts_are_dealt_by_what_enters_the_groups(spark, monkeypatch):
+PAGES = "page_id long, url string, html string"
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_large_hosts_are_dealt_to_parts(spark, monkeypatch):
     rng = random.Random(17)
-    monkeypatch.setattr(html_main, "GROUP_TOKENS", 200)
+    monkeypatch.setattr(html_main, "GROUP_BYTES", 1500)
     bar = sentence(rng, 12)
     own = [f"page{i} {sentence(rng, 27)}" for i in range(40)]  # no run of the bar and a first word is shared
     mains = [["main"] if i else [] for i in range(40)]  # a single page without a main element
-    rows = [(i, "u", "h.org", f"{bar} {t}".split(), m, [0] * len(m)) for i, (t, m) in enumerate(zip(own, mains, strict=True))]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string, stream array<string>, mains array<string>, places array<int>")
-    groups = html_main.salted(pages).groupBy("salt").count().collect()
-    assert len(groups) > 8 and max(g["count"] for g in groups) * 40 <= 2 * 200
     html = [(i, f"http://h.org/{i}", f"<p>{bar}</p><p>{t}</p>" + (f"<main>{m[0]}</main>" if m else "")) for i, (t, m) in enumerate(zip(own, mains, strict=True))]
-    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(html, "page_id long, url string, html string")).collect()}
-    assert got == {i: " ".join([t, *m]) for i, (t, m) in enumerate(zip(own, mains, strict=True))}
+    pages = spark.createDataFrame(html, PAGES)
+    assert html_main.large_hosts(pages.selectExpr("'h.org' host", "html"))["h.org"] > 4
+    assert texts_of(spark, html) == {i: " ".join([t, *m]) for i, (t, m) in enumerate(zip(own, mains, strict=True))}
+
+
+def brute_extract(rows):
+    """Loose windows of two pages go, and main blocks that windows of nine in ten articles cover."""
+    by_host, out = defaultdict(list), {}
+    for i, url, page in rows:
+        by_host[html_main.host_of(url)].append((i, html_main.blocks(page)))
+    run = html_main.RUN
+    for pages in by_host.values():
+        loose_of, main_of = defaultdict(set), defaultdict(set)
+        flat = []
+        for i, (found, has_main) in pages:
+            main = [t for m, x in found if m for t in x.split()]
+            loose = [t for m, x in found if not m for t in x.split()]
+            loose += [""] * (run - len(loose) if has_main and 0 < len(loose) < run else 0)
+            flat.append((main, loose))
+            for a in range(len(loose) - run + 1):
+                loose_of[tuple(loose[a : a + run])].add(i)
+            for a in range(len(main) - run + 1):
+                main_of[tuple(main[a : a + run])].add(tuple(main))
+        articles = len({tuple(m) for m, _ in flat if m})
+        for (i, (found, _)), (main, loose) in zip(pages, flat, strict=True):
+            gone = [{x for a in range(len(s) - run + 1) if test(tuple(s[a : a + run])) for x in range(a, a + run)} for s, test in (
+                (loose, lambda w: len(loose_of[w]) > 1), (main, lambda w: articles >= 8 and len(main_of[w]) >= max(8, 0.9 * articles)))]
+            at, text = [0, 0], []
+            for m, x in found:
+                places = [*range(at[m], at[m] + len(x.split()))]
+                at[m] += len(places)
+                if m:
+                    text += [] if gone[1].issuperset(places) else [x]
+                else:
+                    text += [t for t, k in zip(x.split(), places, strict=True) if k not in gone[0]]
+            out[i] = " ".join(text)
+    return out
+
+
+def test_extraction_equals_brute_force(spark):
+    rng = random.Random(23)
+    bars = [sentence(rng, n) for n in (3, 9, 14)]
+    notice, quote, rows = sentence(rng, 10), sentence(rng, 12), []
+    for i in range(60):
+        parts = [f"<p>{sentence(rng, rng.randint(1, 20))}</p>" for _ in range(rng.randint(0, 4))]
+        parts += [f"<div>{rng.choice(bars)}</div>"] if rng.random() < 0.6 else []
+        body = [f"<p>{sentence(rng, rng.randint(1, 25))}</p>" for _ in range(3)]
+        body += [f"<p>{notice}</p>"] if i % 20 else []
+        body += [f"<p>{quote}</p>"] if rng.random() < 0.5 else []
+        rng.shuffle(parts)
+        parts.insert(rng.randint(0, len(parts)), f"<article>{''.join(body)}</article>" if rng.random() < 0.8 else "")
+        rows.append((i, f"https://{rng.choice('aab')}.net/{i}", "".join(parts)))
+    rows += [(100 + i, f"https://c.net/{i}", f"<article><p>{notice}</p><p>{quote}</p></article>") for i in range(20)]  # copies of one article
+    got, want = texts_of(spark, rows), brute_extract(rows)
+    assert got == want
+    assert sum(notice in t for t in got.values()) < 40 and all(notice in got[100 + i] for i in range(20))
+    assert sum(quote in t for t in got.values()) > 35
+
+
+def test_attributes_and_classes(spark):
+    pages = {
+        '<article><p title="the hidden treasure">kept</p></article>': "kept",
+        '<article><p>see <a href="/x?id=comment">the link</a></p></article>': "see the link",
+        '<article><div data-id="search">kept</div></article>': "kept",
+        '<article class="post comments-open"><p>kept</p></article>': "kept",
+        '<main class="has-sidebar"><p>kept</p></main>': "kept",
+        '<article><p class="notice-of-intent">kept</p></article>': "kept",
+        "<article><p>if a<b then c</p></article>": "if a<b then c",
+        '<article><h1 class="header">Title</h1><div class="comment-list">no</div><div id="userComments">no</div><p class="cookie-notice x">no</p></article>': "Title",
+        '<article><p>one<p class="notice">no<p>two<ul><li class="ad">no<li>three</ul></article>': "one two three",
+        '<article><div hidden>no</div><div aria-hidden="true">no</div><div style="display: none">no</div><p>&lt;b&gt; &amp;amp; &#233;</p></article>': "<b> &amp; é",
+        '<article><p>before</p><img alt="a > b"><p>after</p></article>': "before after",
+        '<article><svg><path d="M0"/></svg>text<script>if (a<b) "</p>"</script></article>': "text",
+    }
+    got = texts_of(spark, [(i, f"http://h{i}.org/", p) for i, p in enumerate(pages)])
+    assert got == dict(enumerate(pages.values()))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ('<a x="' * 160_000, "<div>" * 100_000 + "</b>" * 100_000, "<p " * 300_000, "<a '<b \"" * 100_000, "<script>" * 100_000, "a<b " * 200_000):
+        start = time.monotonic()
+        html_main.blocks(page)
+        assert time.monotonic() - start < 5
+
+
+def test_pages_with_odd_rows(spark):
+    rng = random.Random(31)
+    bar, own = sentence(rng, 12), [sentence(rng, 12) for _ in range(3)]
+    rows = [(1, None, f"<p>{bar}</p><p>{own[0]}</p>"), (1, None, f"<p>{bar}</p><p>{own[0]}</p>"), (None, None, f"<p>{bar}</p><p>{own[1]}</p>"), (None, "x", None), (2, "", "")]
+    got = sorted(((r["page_id"], r["text"]) for r in html_main.main_text(spark.createDataFrame(rows, PAGES)).collect()), key=str)
+    assert got == sorted([(1, f"{bar} {own[0]}")] * 2 + [(None, f"{bar} {own[1]}"), (None, ""), (2, "")], key=str)
 
 
 def test_distinct_windows():
@@ -205,7 +345,7 @@ def test_classifiers_without_labels_or_texts(spark, run):
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "ok"), (2, "ok"), (3, "long " * 200_000)], "doc_id long, text string")
     assert len({r["score"] for r in run(odd, none).collect() if r["doc_id"] != 3}) >= 1
     assert run(odd, none).count() == 5 and run(odd.limit(0), none).count() == 0
-    null = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    null = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 7, -1)], "doc_id long, quality int, toxic int")
     assert run(odd, null).count() == 5
 
 
@@ -218,13 +358,32 @@ def test_held_out_labels_teach_nothing(spark):
 
 
 def test_grammar_reads_clauses():
-    g = toxicity.Grammar({"fool": 3.0}, {}, [0.0] * 10)
-    plain, forms = g.read("you are a fool".split())
-    assert plain["plain"] > 3 and forms == {"fool"}
-    assert g.read("he is not a fool".split())[0]["negated"] > 0
-    assert g.read("someone said fool again".split())[0]["reported"] > 0
-    assert g.read("I will kill you".split())[0]["threat"] == 1
-    assert g.features("kill the lights. a table") is None and g.features(None) is None
+    g = toxicity.Grammar({"fool": 3.0}, {}, toxicity.unmatched())
+    match, negated, reported, threat, aimed = toxicity.MATCH, toxicity.NEGATED, toxicity.REPORTED, toxicity.THREAT, toxicity.AIMED
+    assert g.read("you are a fool".split()) == {match: 3.0, aimed: 1.0}
+    assert g.read("a fool and fool".split()) == {match: 6.0}
+    assert g.read("john is not a fool".split()) == {match | negated: 3.0}
+    assert g.read("someone said fool again".split()) == {match | reported: 3.0}
+    assert g.read("I will kill you".split()) == {threat: 1.0, aimed: 1.0}
+    assert g.read("I will not kill you".split()) == {threat | negated: 1.0, aimed: 1.0}
+    assert g.read("you kill not".split()) == {} and g.features("kill the lights. a table") is None and g.features(None) is None
+
+
+def test_composition_reads_like_its_parts():
+    rng = np.random.default_rng(4)
+    parts = [toxicity.insult(), toxicity.held(toxicity.NEGATION, 3, toxicity.INSULT, 2), toxicity.held(toxicity.REPORT, 8, toxicity.INSULT, 4), toxicity.target()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.compose(p)
+    states, state = [0] * len(parts), 0
+    for x in [*rng.integers(0, 65, 5000), toxicity.END]:
+        want = 0
+        for i, p in enumerate(parts):
+            want |= int(p.marks[states[i], x])
+            states[i] = p.next[states[i], x]
+        assert whole.marks[state, x] == want
+        state = whole.next[state, x]
+    assert state == 0 and not any(states)
 
 
 def test_additive_model_learns_an_interaction():
@@ -278,3 +437,69 @@ def test_queries_run(spark, sf_dir):
         assert out.dtypes == docs.dtypes
         docs = spark.createDataFrame(out.toPandas(), docs.schema) if out.count() else docs
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def brute_headers(files):
+    """TF-IDF cosines of header lines to the templates by plain Python: path -> (licence, score)."""
+    import math
+    import re
+
+    word, header = re.compile(licences.WORD), re.compile(licences.HEADER)
+    lines = {}
+    for path, text in {(p, t) for p, t in files if p is not None and t}:
+        lines[path] = [x for y in re.split(r"\n", text) if header.search(y) for x in re.split(r"(?<=[.!?;])\s+(?=[A-Z])", y) if header.search(x)]
+    all_lines = [x for own in lines.values() for x in own]
+    forms = [(name, t) for name, texts in licences.TEMPLATES.items() for t in texts]
+    df = defaultdict(int)
+    for x in all_lines:
+        for w in set(word.findall(x.lower())):
+            df[w] += 1
+    idf = lambda w: math.log((len(all_lines) + len(forms) + 1) / (df[w] + 1)) + 1
+
+    def vector(x):
+        out = defaultdict(float)
+        for w in word.findall(x.lower()):
+            out[w] += idf(w)
+        return out, math.sqrt(sum(v * v for v in out.values()))
+
+    made = [(name, *vector(t)) for name, t in forms]
+    out = {}
+    for path, own in lines.items():
+        best = []
+        for x in own:
+            v, n = vector(x)
+            for name, u, m in made:
+                best.append((-round(sum(v[w] * u[w] for w in u if w in v) / (n * m), 9), name))
+        best = [b for b in best if -b[0] >= licences.LEAST]
+        if best:
+            out[path] = (min(best)[1], -min(best)[0])
+    return out
+
+
+def test_headers_equal_brute_force(spark):
+    rng = random.Random(41)
+    forms = [t for texts in licences.TEMPLATES.values() for t in texts]
+    files = []
+    for i in range(60):
+        own = rng.choice(forms).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            own[rng.randrange(len(own))] = rng.choice(["and", "license", "copyright", "version"])
+        text = "\n".join([sentence(rng, 8), " ".join(own), sentence(rng, 30)]) if rng.random() < 0.8 else sentence(rng, 20)
+        files.append((f"d{i % 5}/f{i}", text))
+    files += [files[0], files[1], (None, forms[0]), ("d0/x", None), ("d0/long", f"{sentence(rng, 30_000)} copyright {sentence(rng, 10)}")]
+    got = {r["path"]: (r["licence"], r["score"]) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect() if r["source"] == "own"}
+    want = brute_headers(files)
+    assert got.keys() == want.keys() and len(want) > 20
+    for path, (name, score) in want.items():
+        assert got[path][0] == name and abs(got[path][1] - score) < 1e-8
+
+
+def test_licences_of_root_and_repeated_rows(spark):
+    header = "Licensed under the MIT License."
+    third = header + "\n" + "x" * int(len(header) * 1.9)
+    files = [("LICENSE", "Released under the ISC License."), ("a/b/c", "text"), ("top", "text"), ("d/e", third), ("d/e", third), ("d/f", "text"), ("d/g", "text"), ("d/g", "text")]
+    got = [tuple(r) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).select("path", "licence", "source", "from_path").collect()]
+    inherited = [(p, "ISC", "inherited", "LICENSE") for p in ("a/b/c", "top", "d/f", "d/g", "d/g")]
+    assert sorted(got) == sorted([("LICENSE", "ISC", "own", "LICENSE"), *[("d/e", "MIT", "own", "d/e")] * 2, *inherited])
+    docs = spark.createDataFrame([(None, header, "en", "s"), (1, header, "en", "s"), (2, "text", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert sorted(((r["doc_id"], r["licence"], r["source"]) for r in licences.scan_documents(docs).collect()), key=str) == [(1, "MIT", "own"), (2, "MIT", "inherited"), (None, None, "none")]
