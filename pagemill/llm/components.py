@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import staged
+from pagemill.llm.common import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node that it reaches) for every node that has an edge (a, b) to another.
 
-    A round's edges are written to the shared folder; rounds end when the edges stay as they are, after about the
+    A round's edges are written to the shared folder, those of the round before deleted; rounds end when the edges stay as they are, after about the
     logarithm of the longest chain. Only a count and a checksum of the edges reach the driver.
     """
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        edges, last = staged(_small_star(_large_star(edges)), "edges"), mark
+        before, last = edges, mark
+        edges = staged(_small_star(_large_star(before)), "edges")
+        discard(before)
