@@ -108,3 +108,68 @@ def sql_link_score(sample: str) -> str:
 def sql_page_status(t: str) -> str:
     return f"""case when length({t}) = 0 then 'EMPTY' when regexp_matches(lower({t}), '{CHALLENGE}') then 'BLOCKED'
         when regexp_matches(lower({t}), 'page not found|404 error') then 'SOFT_404' when length({t}) < 200 then 'THIN' else 'OK' end"""
+
+
+# What errors say, first rule first (all of a rule's groups must be met); signs of a list that scripts fill.
+MESSAGES = (
+    ("database_down", ("econnrefused", "5432|5433|postgres")), ("database_down", ("can't reach database|cannot reach database|database server|p1001",)),
+    ("duplicate", ("p2002|unique constraint",)), ("gone", ("p2025|record to update not found|no record was found",)), ("still_linked", ("p2003|foreign key",)),
+    ("database", ("prisma",)), ("queue_down", ("redis|connection is closed|stream isn't writeable",)), ("dns", ("enotfound|getaddrinfo",)),
+    ("refused", ("econnrefused",)), ("reset", ("econnreset|socket hang up",)), ("timeout", ("etimedout|timed out|timeout|aborterror|the operation was aborted",)),
+    ("network", ("eai_again|fetch failed|network error|und_err",)), ("certificate", ("certificate|self-signed|cert_",)),
+    ("dns", ("net::err_name_not_resolved",)), ("refused", ("net::err_connection",)), ("browser_closed", ("net::err_aborted|target closed|page.goto|browser has been closed",)),
+    ("redirect_loop", ("err_too_many_redirects|redirect",)), ("blocked", ("403|forbidden|429|too many requests",)), ("not_found", ("404|not found",)),
+    ("server_error", ("500|502|503|504|bad gateway|service unavailable|gateway timeout",)), ("port_taken", ("eaddrinuse|address already in use",)), ("file_missing", ("enoent|no such file",)),
+)
+FINDER = r"(?i)name=[\"'][^\"']*_length[\"']|datatables_length|class=[\"'][^\"']*(datatable|finder)[^\"']*[\"']|load more|show more|view all|see all|more courses|load all"
+#: Patterns that gate a row of the export: never shipped, layout fragments, courses, completion and admission requirements, domestic paths.
+DENIED = (
+    r"imprint|about[-_]?us|newsroom|press|campus[-_]?map|data[-_]?protection|accessibility|gender[-_]?equality|/history|/contact|privacy|sitemap|/login|/people/|/staff|/profile/"
+    r"|/news/|/events?/|cookie|mailto:|href=|advisory[-_]?council|/advisory|alumni|donate|giving"
+)
+RESEARCH, RESEARCH_DEGREE = r"/research", r"/research[-_]degree"
+COURSE_PAGE, LISTING_END = r"/(courses?|programmes?|programs?|degrees?)/[a-z0-9]", r"/(courses?|programmes?|programs?|degrees?|search|a-z)/?$"
+COMPLETION = r"(graduation|degree|minor|completion|major|honou?rs)[-_ ]?requirements?|sample[-_ ]?curriculum|degrees?[-_ ]?available|course[-_ ]?content|module[-_ ]?(list|catalog)"
+ADMISSION = r"(admission|entry)[-_ ]?(requirement|criteri|profile)|how[-_ ]?to[-_ ]?apply|/admissions?([^a-z0-9_]|$)|entry[-_ ]?requirements?"
+ELIGIBLE, DOMESTIC = r"eligib|entry[-_ ]?requirement|admission|how[-_ ]?to[-_ ]?apply|international", r"/(domestic|home|local)([-_](students?|applicants?))?(/|$)"
+
+
+def message_class(message: Column) -> Column:
+    """What kind of error a message speaks of."""
+    low, out = F.lower(message), F
+    for kind, groups in MESSAGES:
+        met = low.rlike(groups[0])
+        for g in groups[1:]:
+            met = met & low.rlike(g)
+        out = out.when(met, kind)
+    return out.otherwise("other")
+
+
+SQL_MESSAGE_CLASS = "case " + " ".join(f"""when {' and '.join(f"regexp_matches(lower(message), '{g.replace(chr(39), chr(39) * 2)}')" for g in groups)} then '{kind}'""" for kind, groups in MESSAGES) + " else 'other' end"
+
+
+def is_finder(html: Column) -> Column:
+    return html.rlike(FINDER)
+
+
+def export_level(url: Column, page_kind: Column, title: Column) -> Column:
+    """The level at which a link enters the eligibility export (course or university), null where the gate keeps it out.
+
+    In order: scholarship classes, denied paths and layout fragments, pages for domestic students, pages of neither level, listings,
+    and requirements for completing a course rather than for entering it.
+    """
+    low = F.lower(url)
+    denied = low.rlike(DENIED) | (low.rlike(RESEARCH) & ~low.rlike(RESEARCH_DEGREE))
+    domestic = F.lower(urls.path(url)).rlike(DOMESTIC) | F.coalesce(F.lower(title).rlike("domestic students|home students"), F.lit(False))
+    course = low.rlike(COURSE_PAGE)
+    out = F.when(page_kind.isin("SCHOLARSHIP") | denied | domestic, F.lit(None)).when(~course & ~low.rlike(ELIGIBLE), F.lit(None))
+    out = out.when(course & (urls.path(low).rlike(LISTING_END) | (low.rlike(COMPLETION) & ~low.rlike(ADMISSION))), F.lit(None))
+    return out.when(course, "course").otherwise("university")
+
+
+def sql_export_level(url: str, path: str, kind: str, title: str) -> str:
+    low = f"lower({url})"
+    has = lambda pattern, of=low: f"regexp_matches({of}, '{pattern}')"
+    return f"""case when {kind} = 'SCHOLARSHIP' or {has(DENIED)} or ({has(RESEARCH)} and not {has(RESEARCH_DEGREE)}) or {has(DOMESTIC, f'lower({path})')}
+        or coalesce({has('domestic students|home students', f'lower({title})')}, false) then null when not {has(COURSE_PAGE)} and not {has(ELIGIBLE)} then null
+        when {has(COURSE_PAGE)} and ({has(LISTING_END, f'lower({path})')} or ({has(COMPLETION)} and not {has(ADMISSION)})) then null when {has(COURSE_PAGE)} then 'course' else 'university' end"""

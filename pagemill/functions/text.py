@@ -111,3 +111,18 @@ def html_text(page: Column) -> Column:
 def bigrams(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), r"\s+", "")
     return F.when(F.length(plain) > 1, F.transform(F.sequence(F.lit(1), F.length(plain) - 1), lambda i: F.substr(plain, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+# The pattern of A-level grades, of a course's name in a heading, and of the part of a text that names it.
+A_LEVELS = r"(?i)A[- ]?levels?[^A-E]{0,12}([A-E]{2,4}\*?)"
+COURSE_NAME = rf"(?i){BEFORE}(Bachelor of|B\.?Sc|B\.?A{AFTER}|B\.?Eng|B\.?Tech|B\.?E{AFTER}|BBA|LLB|MBBS|Major in|Programme? in|Degree in)"
+COURSE_HINT = rf"{BEFORE}(Bachelor of [A-Z][\w &]+|B\.?Sc\.?[\w. ]*|B\.?A\.?[\w. ]*|B\.?Tech[\w. ]*|BBA|LLB|MBBS)"
+
+
+def a_levels(text: Column) -> Column:
+    return F.concat(F.lit("A-levels "), _group(text, A_LEVELS))
+
+
+def course_hint(text: Column, heading: Column) -> Column:
+    """The heading where it names a course, else the first course that the text names; null for none."""
+    return F.when(heading.rlike(COURSE_NAME), F.trim(heading)).otherwise(F.trim(_group(text, COURSE_HINT)))

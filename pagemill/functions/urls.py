@@ -141,3 +141,47 @@ def family(url: Column) -> Column:
     """Origin and path without years: the editions of a page share it."""
     plain = F.filter(segments(url), lambda s: ~s.rlike(YEAR))
     return F.lower(F.concat(host(url), F.lit("/"), F.array_join(plain, "/")))
+
+
+# What a page number looks like in a link and in its words, and what an official site's address has.
+PAGE_LINKS = (r"(?i)[?&]page=\d+", r"(?i)[?&]p=\d+", r"(?i)/page/\d+", r"(?i)[?&]start=\d+", r"(?i)[?&]offset=\d+")
+PAGE_WORDS = (r"(?i)next", r"(?i)load\s*more", r"(?i)show\s*more", r"(?i)more\s*results", r"^\d+$")
+OFFICIAL = (
+    (r"\.edu(/|$|\.)", 50), (r"\.ac\.[a-z]{2}(/|$)", 50), (r"\.edu\.[a-z]{2}(/|$)", 45),
+    (r"//[^/]*(uni-|\buniversity\b|\buniv\b|hochschule|universite|universidad|universita)", 12),
+)
+
+
+def origin_of(raw: Column) -> Column:
+    """Scheme and host of an address as typed (https where it has none); '' where there is no host."""
+    typed = F.trim(raw)
+    full = F.when(typed.rlike("(?i)^https?://"), typed).otherwise(F.concat(F.lit("https://"), typed))
+    return F.when(host(full).rlike(r"^[^\s]+$"), F.concat(scheme(full), F.lit("://"), host(full))).otherwise(F.lit(""))
+
+
+def normal_url(raw: Column) -> Column:
+    """An address as typed in its clean form, without the last slash; '' where there is no host."""
+    typed = F.trim(raw)
+    rest = F.regexp_replace(typed, "(?i)^(https?://)?[^/?#]*", "")
+    return F.when(origin_of(raw) != "", F.regexp_replace(F.concat(origin_of(raw), F.when(rest.rlike("^[?#]"), F.lit("/")).otherwise(F.lit("")), rest), "/$", "")).otherwise(F.lit(""))
+
+
+def official_score(url: Column) -> Column:
+    """How likely an address is an institution's home page."""
+    low = F.lower(url)
+    score = sum((F.when(low.rlike(p), n).otherwise(0) for p, n in OFFICIAL), F.lit(0))
+    return score + F.when(path(low) == "/", 8).otherwise(0) + F.when(depth(low) <= 1, 4).otherwise(0)
+
+
+def is_pagination(url: Column, anchor: Column) -> Column:
+    words = F.trim(F.coalesce(anchor, F.lit("")))
+    linked, said = (F.array(*[c.rlike(p) for p in found]) for c, found in ((url, PAGE_LINKS), (words, PAGE_WORDS)))
+    return F.exists(linked, lambda x: x) | (F.length(words).between(1, 16) & F.exists(said, lambda x: x))
+
+
+def feed_key(url: Column) -> Column:
+    """The key under which the feed shows a course once: host and path without years, the international variant with the plain one."""
+    low = F.lower(url)
+    plain = F.replace(F.regexp_replace(path(low), "/$", ""), F.lit("/international/courses/"), F.lit("/courses/"))
+    kept = F.filter(F.split(plain, "/"), lambda s: ~s.rlike(YEAR))
+    return F.coalesce(F.concat(host(low), F.array_join(kept, "/")), low)

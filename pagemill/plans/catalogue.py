@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import linkage_queries, more_queries, relational_queries, relational_sql, source_queries, text_queries, url_queries
+from pagemill.plans import export_queries, linkage_queries, more_queries, relational_queries, relational_sql, source_queries, text_queries, url_queries
 
 FLAGSHIP = "f1_canonical_url"
 FAMILIES = (
@@ -16,6 +16,7 @@ FAMILIES = (
     (linkage_queries.QUERIES, linkage_queries.SQL),
     (source_queries.QUERIES, source_queries.SQL),
     (more_queries.QUERIES, more_queries.SQL),
+    (export_queries.QUERIES, export_queries.SQL),
 )
 
 

@@ -98,16 +98,37 @@ def sitemap_locations(files: DataFrame) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON state document, or no rows if there is none or it is broken."""
+    """The records of a JSON state document, one a line; broken ones are left out, and where there is no document there are no rows."""
     try:
-        rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-        return rows.filter("_broken is null").drop("_broken") if rows.take(1) else spark.createDataFrame([], schema)
+        lines = spark.read.text(path).filter("trim(value) != ''")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    record = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return lines.select(record.alias("r")).select("r.*").filter("_broken is null").drop("_broken")
 
 
 def log_counts(lines: DataFrame, words: list[str]) -> DataFrame:
     """Of log lines (value) how many have each word."""
     return lines.select(F.explode(F.array_compact(F.array(*[F.when(F.lower("value").contains(w.lower()), F.lit(w)) for w in words]))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def by_alias(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Columns under their roles: of each role the first non-empty value among its aliases, in their order; null for none."""
+    squeezed = {re.sub(r"[^a-z0-9]", "", c.lower()): c for c in rows.columns}
+    filled = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    found = {role: [filled(squeezed[a]) for a in names if a in squeezed] for role, names in aliases.items()}
+    return rows.select(*[(F.coalesce(*cols) if cols else F.lit(None).cast("string")).alias(role) for role, cols in found.items()])
+
+
+def json_items(texts: F.Column, schema: str) -> F.Column:
+    """The items of a JSON array; a text that is none gives no items."""
+    return F.coalesce(F.from_json(texts, f"array<struct<{schema}>>"), F.array().cast(f"array<struct<{schema}>>"))
+
+
+def progress(lines: DataFrame, task: str, order: str, line: str) -> DataFrame:
+    """Of each task's log the last mark "done/total" that can be one (0 < total, done <= total)."""
+    marks = lines.select(task, order, F.expr(rf"regexp_extract({line}, '(?:^|[^0-9A-Za-z_])([0-9]+)\\s*/\\s*([0-9]+)', 1)").alias("d"), F.expr(rf"regexp_extract({line}, '(?:^|[^0-9A-Za-z_])([0-9]+)\\s*/\\s*([0-9]+)', 2)").alias("t"))
+    marks = marks.filter("d != ''").select(task, order, F.col("d").cast("long").alias("done"), F.col("t").cast("long").alias("total")).filter("total > 0 and done <= total")
+    return marks.groupBy(task).agg(F.max_by(F.struct("done", "total"), order).alias("m")).select(task, "m.done", "m.total")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.sources.sheets import write_workbook
@@ -59,3 +59,30 @@ def audit(counts: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame([(k, v.count()) for k, v in counts.items()], "name string, n long").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n"))))).alias("audit")
     )
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file (a workbook) into a folder that driver and executors share, by any file system that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_split(df: DataFrame, path: str, confirmed: F.Column) -> None:
+    """Confirmed rows and those to review in folders of their own, all columns quoted; null counts as to review."""
+    met = F.coalesce(confirmed, F.lit(False))
+    write_quoted_csv(df.filter(met), f"{path}/verified")
+    write_quoted_csv(df.filter(~met), f"{path}/review")
+
+
+def write_coverage(df: DataFrame, path: str, checked: F.Column) -> None:
+    """A coverage export, each row stamped with the time of its check."""
+    write_quoted_csv(df.withColumn("last_checked", F.date_format(checked, "yyyy-MM-dd'T'HH:mm:ss'Z'")), path)
+
+
+def restore(snapshot: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """The present rows and those of the snapshot whose key isn't there: restoring skips duplicates."""
+    return present.unionByName(snapshot.join(present.select(key), key, "left_anti").dropDuplicates([key]))
