@@ -38,13 +38,56 @@ def carry_forward(previous: DataFrame, current: DataFrame, key: Sequence[str], m
     return both.filter(F.col("misses") < most).select(*key, "misses", F.when(F.col("_seen"), "current").otherwise("carried").alias("origin"))
 
 
-def dice(a: DataFrame, b: DataFrame, id_a: str, id_b: str, grams: str, common: int = 1) -> DataFrame:
-    """Dice similarity of the pairs that share at least ``common`` bigrams, counted as multisets.
+def dice_join(names: DataFrame, key: str, grams: str, least: float) -> DataFrame:
+    """a, b and dice of the pairs of rows whose bigrams, counted as multisets, have a Dice similarity of ``least`` or more.
 
-    a and b have an id and an array of bigrams. Pairs meet on bigrams only, so callers block on something rarer first.
+    Give each name once, under a unique key. A gram's second copy is another element than its first. Pairs that similar share
+    one of the rarest elements of each (as many as may be missing, and one), so they meet on rare elements only and never
+    as all pairs of a group; sizes too far apart don't meet. What is found is compared as a whole.
     """
-    count = lambda t, i: t.select(i, F.explode(grams).alias("g")).groupBy(i, "g").agg(F.count("*").alias(f"n_{i}"))
-    size = lambda t, i: t.select(i, F.size(grams).alias(f"s_{i}"))
-    met = count(a, id_a).join(count(b, id_b), "g").groupBy(id_a, id_b).agg(F.sum(F.least(f"n_{id_a}", f"n_{id_b}")).alias("shared"))
-    rows = met.filter(F.col("shared") >= common).join(size(a, id_a), id_a).join(size(b, id_b), id_b)
-    return rows.select(id_a, id_b, (2 * F.col("shared") / (F.col(f"s_{id_a}") + F.col(f"s_{id_b}"))).alias("dice"))
+    each = names.select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).groupBy(key, "n", "g").agg(F.count("*").alias("c"))
+    each = each.select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.concat_ws("\0", "g", i.cast("string")))).alias("e"))
+    rarity = each.groupBy("e").agg(F.count("*").alias("df"))
+    sets = each.join(rarity, "e").groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    need = F.ceil(F.lit(least) / (2 - F.lit(least)) * F.col("n") - 1e-9)
+    sets = sets.select(key, "n", F.transform("es", lambda x: x["e"]).alias("es"), (F.col("n") - need + 1).cast("int").alias("p"))
+    met = sets.select(key, "n", F.explode(F.slice("es", F.lit(1), F.col("p"))).alias("e"))
+    side = lambda k, n: met.select(F.col(key).alias(k), F.col("n").alias(n), "e")
+    fits = F.least("na", "nb") >= F.lit(least) / (2 - F.lit(least)) * F.greatest("na", "nb") - 1e-9
+    pairs = side("a", "na").join(side("b", "nb"), "e").filter(F.col("a") < F.col("b")).filter(fits).select("a", "b").distinct()
+    whole = lambda k, es: sets.select(F.col(key).alias(k), F.col("es").alias(es))
+    rows = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
+    value = 2 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
+    return rows.select("a", "b", value.alias("dice")).filter(F.col("dice") >= least)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, block: int = 500) -> DataFrame:
+    """doc_id and item_id of the items (item_id, item) that stand whole in texts (doc_id, text).
+
+    An item of three words or more is met on its inner words (the outer ones may be glued to others in a text): up to eight
+    of them, each text's runs of so many. Only keys and ids are joined; a hit's text is fetched once. Shorter items have no word
+    of their own, so they are looked for as they are, in blocks of ``block`` items.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    gram = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    split = items.filter("item != ''").dropDuplicates(["item_id", "item"]).withColumn("w", words("item"))
+    inner = F.least(F.size("w") - 2, F.lit(8))
+    long = split.filter(F.size("w") > 2).select("item_id", "item", inner.alias("n"), F.concat_ws(" ", inner.cast("string"), gram(F.col("w"), F.lit(2), inner)).alias("key"))
+    lengths = [r["n"] for r in long.select("n").distinct().collect()]  # eight at most
+    texts = docs.select("doc_id", "text")
+    out = None
+    if lengths:
+        # The words beside their successors, so that a text of n words takes n steps (a slice a place would take n a step).
+        beside = lambda n: F.arrays_zip(*[F.slice("w", j + 1, F.greatest(F.size("w") - n + 1, F.lit(0))) for j in range(n)])
+        runs = lambda n: F.transform(beside(n), lambda z: F.concat_ws(" ", F.lit(str(n)), *[z[str(j)] for j in range(n)]))
+        keys = texts.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("key"))
+        met = keys.join(long, "key").select("doc_id", "item_id", "item").distinct()
+        out = texts.join(met, "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    short = split.filter(F.size("w") <= 2).select("item_id", "item")
+    n = -(-short.count() // block)
+    for i in range(n):
+        own = short.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == i).collect()
+        wanted = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in own])
+        found = texts.select("doc_id", F.explode(F.filter(wanted, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("doc_id", "x.item_id")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct() if out is not None else texts.join(items, F.lit(False)).select("doc_id", "item_id")

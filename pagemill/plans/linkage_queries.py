@@ -97,28 +97,19 @@ def j18_change_monitor(spark, sf_dir):
 
 
 def g20_snippet_match(spark, sf_dir):
-    """Benchmark items that stand whole in documents, met on their first eight words and then compared whole."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    gram = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
-    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), words("text").alias("w")).filter(F.size("w") >= 10)
-    # An item's first word may be glued to what stands before it, so its second to ninth words are the key.
-    items = items.select("item_id", "item", gram(F.col("w"), F.lit(2)).alias("key"))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", words("text").alias("w"))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: gram(F.col("w"), i)))
-    met = docs.select("doc_id", "text", F.explode(keys).alias("key")).join(items, "key")
-    return met.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    """Benchmark items, and their first words and single words, that stand whole in documents."""
+    b = _t(spark, sf_dir, "benchmark")
+    first = b.select((-1 - F.col("item_id")).alias("item_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("item"))
+    single = b.filter("item_id < 20").select((-1000 - F.col("item_id")).alias("item_id"), F.element_at(F.split("text", " "), -1).alias("item"))
+    items = b.select("item_id", F.col("text").alias("item")).unionByName(first).unionByName(single)
+    return L.contained_items(_t(spark, sf_dir, "documents"), items)
 
 
 def g19_dice(spark, sf_dir):
-    """Bigram Dice similarity of part names, among parts of one brand and size."""
-    p = _t(spark, sf_dir, "part").filter("p_size <= 5").select("p_partkey", "p_brand", "p_size", "p_name")
-    a = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", X.bigrams(F.col("p_name")).alias("x"))
-    b = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", X.bigrams(F.col("p_name")).alias("y"))
-    pairs = a.join(b, ["p_brand", "p_size"]).filter("a < b")
-    seen = F.array_distinct("x")
-    count = lambda arr, g: F.size(F.filter(arr, lambda z: z == g))
-    shared = F.aggregate(F.transform(seen, lambda g: F.least(count(F.col("x"), g), count(F.col("y"), g))), F.lit(0), lambda s, v: s + v)
-    return pairs.select("a", "b", F.round(2 * shared / (F.size("x") + F.size("y")), 6).alias("dice"))
+    """Pairs of different part names with a bigram Dice similarity of 0.85 or more; a name stands for all its parts."""
+    name = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    names = _t(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.count("*").alias("parts")).withColumn("grams", X.bigrams(F.col("name")))
+    return L.dice_join(names, "name", "grams", 0.85).select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 def w8_newest_edition(spark, sf_dir):
@@ -207,11 +198,12 @@ SQL = {
     "j18_change_monitor": f"""with e as (select source, lang, doc_id % 2 = 0 as early, sum(n_chars) as v, 1 as k from documents group by 1, 2, 3),
         o as (select * from e where early), n as (select * from e where not early)
         select {_DIFF} as status, count(*) as n from o full join n on o.source = n.source and o.lang = n.lang group by 1""",
-    "g19_dice": """with p as (select p_partkey as k, p_brand, p_size, regexp_replace(lower(p_name), '\\s+', '', 'g') as s from part where p_size <= 5),
+    "g19_dice": r"""with p as (select distinct p_name || ' ' || p_type || ' ' || p_brand as k, regexp_replace(lower(p_name || p_type || p_brand), '\s+', '', 'g') as s from part),
         g as (select k, substr(s, i, 2) as g, count(*) as n from (select k, s, unnest(range(1, length(s))) as i from p) group by 1, 2),
-        pairs as (select a.k as a, b.k as b, length(a.s) + length(b.s) - 2 as total from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.k < b.k)
-        select a, b, round(2 * coalesce((select sum(least(x.n, y.n)) from g x join g y on x.g = y.g where x.k = a and y.k = b), 0)::double / total, 6) as dice from pairs""",
-    "g20_snippet_match": "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)",
+        m as (select x.k as a, y.k as b, sum(least(x.n, y.n)) as shared from g x join g y on x.g = y.g and x.k < y.k group by 1, 2)
+        select a, b, round(2 * shared::double / (length(p.s) + length(q.s) - 2), 6) as dice from m join p on p.k = a join p q on q.k = b where 2 * shared::double / (length(p.s) + length(q.s) - 2) >= 0.85""",
+    "g20_snippet_match": """with i as (select item_id, text as item from benchmark union all select -1 - item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') from benchmark
+        union all select -1000 - item_id, list_extract(string_split(text, ' '), -1) from benchmark where item_id < 20) select distinct doc_id, item_id from documents d join i on contains(d.text, item)""",
     "w8_newest_edition": f"""select host, branch, year, page_id from (select page_id, {S.HOST} as host,
         coalesce({S.SEGMENTS}[1], cast(2020 + page_id % 5 as varchar)) as branch, 2020 + page_id % 5 as year from pages)
         qualify row_number() over (partition by host, branch order by year desc, page_id) = 1""",

@@ -231,10 +231,11 @@ def x1_dead_letters(spark, sf_dir):
 
 
 def u6_token_sets(spark, sf_dir):
-    """Pairs of parts of one brand and size whose type has the same words, by what they share."""
-    p = _t(spark, sf_dir, "part").filter("p_size <= 8").select("p_partkey", "p_brand", "p_size", F.array_sort(F.array_distinct(F.split("p_type", " "))).alias("w"))
-    a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("w").alias("x")), p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("w").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", (F.col("x") == F.col("y")).alias("same"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    """Parts whose names have the same words, in any order, are one class, named by its first part."""
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_type", "p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type"))), " "))), " ")
+    p = _t(spark, sf_dir, "part").select("p_partkey", words.alias("words"))
+    classes = p.groupBy("words").agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("n"))
+    return p.join(classes, "words").select("p_partkey", "first_part", "n")
 
 
 QUERIES = {
@@ -302,6 +303,6 @@ SQL = {
         order by ts, event_id))) as bigint) as gap from events) where gap > 10800 group by 1""",
     "x1_dead_letters": """select case when not last_failed then 'done' when failures < 3 then 'retry' else 'dead' end as state, count(*) as jobs from (select event_id % 500 as job,
         count(*) filter (where event_type = 'error') as failures, arg_max(event_type = 'error', event_id) as last_failed from events group by 1) group by 1""",
-    "u6_token_sets": """with p as (select p_partkey as k, p_brand, p_size, list_sort(list_distinct(string_split(p_type, ' '))) as w from part where p_size <= 8)
-        select a.k as a, b.k as b, a.w = b.w as same, len(list_intersect(a.w, b.w)) as shared from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.k < b.k""",
+    "u6_token_sets": """select p_partkey, min(p_partkey) over w as first_part, count(*) over w as n from (select p_partkey, list_sort(list_distinct(string_split(p_name || ' ' || p_type, ' '))) as words from part)
+        window w as (partition by words)""",
 }

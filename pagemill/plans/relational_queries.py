@@ -15,7 +15,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def p1_criteria_search(spark, sf_dir):
     """Conjunction of optional conditions with a search over several columns."""
     docs = _t(spark, sf_dir, "documents")
-    return R.where(docs, {"lang": "en"}, {"n_chars": 200}, {"n_chars": 3000}, (("source", "text"), "THE_")).select("doc_id", "source", "n_chars")
+    return R.where(docs, {"lang": "en"}, {"n_chars": 200}, {"n_chars": 3000}, (("source", "text"), "%%%")).select("doc_id", "source", "n_chars")
 
 
 def p5_null_safe_lists(spark, sf_dir):
@@ -112,12 +112,23 @@ def j13_prefix_join(spark, sf_dir):
     return found.groupBy("domain", "branch").agg(F.array_join(F.sort_array(F.collect_set("path")), "\n").alias("children"))
 
 
+PLAIN_WORDS = ("the", "of", "university", "and")
+
+
 def j17_name_match(spark, sf_dir):
-    """Suppliers and customers whose names share their number token, blocked on that token."""
-    tokens = lambda c: F.regexp_extract(c, r"0*([0-9]+)$", 1)
-    s = _t(spark, sf_dir, "supplier").select("s_suppkey", tokens("s_name").alias("token"), "s_nationkey")
-    c = _t(spark, sf_dir, "customer").select("c_custkey", tokens("c_name").alias("token"), "c_nationkey")
-    return s.join(c, "token").select("s_suppkey", "c_custkey", (F.col("s_nationkey") == F.col("c_nationkey")).alias("same_nation"))
+    """Names match where their distinctive words are the same set, or, where one has a single such word, if the other has it.
+
+    Sets of two words or more meet on the whole set, single words on the word.
+    """
+    distinctive = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*PLAIN_WORDS))))
+    n, s, c = (_t(spark, sf_dir, x) for x in ("nation", "supplier", "customer"))
+    k, code = F.col("s_suppkey") % 3, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    named = F.when(k == 0, F.concat(F.lit("The University of "), code)).when(k == 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(" and "), code)).otherwise(F.concat(code, F.lit(" r9")))
+    a = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", distinctive(named).alias("x"))
+    b = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 5 = 0").select("c_custkey", distinctive(F.concat(F.lit("University of N"), F.col("c_nationkey").cast("string"), F.lit(", R"), F.col("n_regionkey").cast("string"))).alias("y"))
+    same = a.filter(F.size("x") > 1).join(b.filter(F.size("y") > 1), F.col("x") == F.col("y")).select("s_suppkey", "c_custkey")
+    part = a.filter(F.size("x") == 1).select("s_suppkey", F.col("x")[0].alias("word")).join(b.select("c_custkey", F.explode("y").alias("word")), "word").select("s_suppkey", "c_custkey")
+    return same.unionByName(part)
 
 
 def j19_frontier_anti(spark, sf_dir):

@@ -9,7 +9,7 @@ _EDGES = """(select 'n' || c_nationkey as src, 'c' || c_custkey as dst from cust
 
 SQL = {
     "p1_criteria_search": r"""select doc_id, source, n_chars from documents where lang = 'en' and n_chars >= 200 and n_chars <= 3000
-        and (source ilike '%the\_%' escape '\' or text ilike '%the\_%' escape '\')""",
+        and (source ilike '%\%\%\%%' escape '\' or text ilike '%\%\%\%%' escape '\')""",
     "p5_null_safe_lists": """select toxic is null as unlabelled, count(*) as n from documents left join labels using (doc_id)
         where toxic is null or toxic not in (1) group by 1""",
     "p7_status_ranges": "select o_orderkey, o_orderstatus from orders where o_totalprice between 50000 and 100000 and o_orderpriority like '1-%'",
@@ -39,8 +39,8 @@ SQL = {
         from (select distinct {S.REGISTRABLE} as domain, coalesce({S.SEGMENTS}[1], '') as branch from pages) s
         join (select {S.REGISTRABLE} as domain, {S.PATH} as path from pages) p on s.domain = p.domain
         and (p.path = '/' || s.branch or starts_with(p.path, '/' || s.branch || '/')) group by 1, 2""",
-    "j17_name_match": """select s_suppkey, c_custkey, s_nationkey = c_nationkey as same_nation from supplier join customer
-        on regexp_extract(s_name, '0*([0-9]+)$', 1) = regexp_extract(c_name, '0*([0-9]+)$', 1)""",
+    "j17_name_match": """select s_suppkey, c_custkey from supplier join nation n on s_nationkey = n.n_nationkey join customer on c_custkey % 5 = 0 join nation m on c_nationkey = m.n_nationkey
+        where (s_suppkey % 3 = 0 and s_nationkey = c_nationkey) or (s_suppkey % 3 = 1 and s_nationkey = c_nationkey and n.n_regionkey = m.n_regionkey)""",
     "j19_frontier_anti": f"""with p as (select page_id, url, {S.CANONICAL} as canonical from pages),
         done as (select url as alias from p where page_id % 3 = 0 union select canonical from p where page_id % 3 = 0)
         select page_id, canonical from p where not exists (select 1 from done where alias in (p.url, p.canonical))""",

@@ -18,8 +18,11 @@ def _t(spark, sf_dir, name) -> DataFrame:
 
 
 def _place(spark) -> str:
-    """A folder of its own where executors and driver both write: the shared one, or a temporary one in local tests."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
+    """A folder of its own where executors and driver both write: the shared one, or a temporary one in a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def k3_csv_round_trip(spark, sf_dir):

@@ -11,16 +11,16 @@ from pagemill.functions import urls
 from pagemill.plans import sqltext as S
 
 VOCABULARY = {"common": ("the", "of the", "that"), "french": ("les", "des", "une"), "legal": ("license", "licensed under", "copyright")}
-#: Host texts have no admission fields, so the rules read a line built from each document's numbers in front of its text.
+#: Host texts have few admission fields, so the rules read each whole text behind a line built from the document's number.
 LINE = (
     "concat('Minimum ', 50 + doc_id % 50, '% and GPA ', 1 + doc_id % 4, '.', doc_id % 10, '. ', if(doc_id % 3 = 0, 'IELTS 6.5 and TOEFL 90. ', ''),"
     " if(doc_id % 4 = 0, 'Mathematics and Physics are required. ', ''), if(doc_id % 5 = 0, 'The SAT is accepted. ', ''),"
-    " if(doc_id % 7 = 0, 'Bachelor of Science. ', ''), substring(text, 1, 40))"
+    " if(doc_id % 7 = 0, 'Bachelor of Science. ', ''), coalesce(text, ''))"
 )
 SQL_LINE = (
     "'Minimum ' || (50 + doc_id % 50) || '% and GPA ' || (1 + doc_id % 4) || '.' || (doc_id % 10) || '. ' || case when doc_id % 3 = 0 then 'IELTS 6.5 and TOEFL 90. ' else '' end ||"
     " case when doc_id % 4 = 0 then 'Mathematics and Physics are required. ' else '' end || case when doc_id % 5 = 0 then 'The SAT is accepted. ' else '' end ||"
-    " case when doc_id % 7 = 0 then 'Bachelor of Science. ' else '' end || substr(text, 1, 40)"
+    " case when doc_id % 7 = 0 then 'Bachelor of Science. ' else '' end || coalesce(text, '')"
 )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.operators.replay import Throttle
 
@@ -20,11 +20,26 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream has given once all its input is read, from a memory sink."""
-    name = f"out_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What the stream has given once all its input is read: every micro-batch is Parquet in the shared folder.
+
+    In complete mode the last batch is the result, else all of them are. Nothing of it passes through the driver.
+    """
+    from pagemill.plans.source_queries import _place
+
+    spark = stream.sparkSession
+    path = _place(spark)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batches/batch={batch}")  # a batch that is tried again replaces itself
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    if run.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/batches")
+    if mode == "complete":
+        found = found.join(F.broadcast(found.agg(F.max("batch").alias("batch"))), "batch")
+    return found.select(*stream.columns)
 
 
 def half_hour_rates(events: DataFrame) -> DataFrame:
