@@ -30,9 +30,9 @@ from pagemill.llm.common import shuffle_width, staged
 from pagemill.llm.components import components
 
 #: Words of a shingle; the least Jaccard similarity as a fraction; bits of the table of counts; shingles of a tile; sets that all tiles of a block get.
-WORDS, NUM, DEN, TABLE_BITS, TILE, PIVOTS = 4, 85, 100, 17, 4_000_000, 32
+WORDS, NUM, DEN, TABLE_BITS, TILE, PIVOTS = 4, 85, 100, 17, 2_000_000, 32
 #: Bytes that are hashed at once; bits of a signature; children of a tree node.
-SLICE, SIGNATURE, FANOUT = 2_000_000, 1024, 8
+SLICE, SIGNATURE, FANOUT = 1_000_000, 1024, 8
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _LETTERS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -135,7 +135,7 @@ def _words_of_one(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sliced(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _sliced(batch: pa.RecordBatch, column: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of text, so that memory doesn't follow the batch's rows."""
     if not batch.num_rows:
         return
@@ -314,7 +314,7 @@ def may_link(n: np.ndarray, own: list[bytes], num: int, den: int, root: np.ndarr
         by_size = np.argsort(size, kind="stable")
         # Who asks looks through all of fitting size, unless a neighbour was found and all ask: then whom it meets has been sent.
         ordered, alone = size[by_size], by_size[asks[by_size] & ~(found[at[by_size]] & asks.all())]
-        step = max(1, 16_000_000 // (len(at) * int(w)))
+        step = max(1, 4_000_000 // (len(at) * int(w)))
         for s in range(0, len(alone), step):
             x = alone[s : s + step]
             lo = np.searchsorted(ordered, size[x[0]] * num // den)

@@ -115,7 +115,7 @@ class Grammar:
         """The classes of a token, and its weight as an insult."""
         found = self.seen.get(token)
         if found is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             found = self.seen[token] = self._symbol(token.lower())
         return found
@@ -179,17 +179,24 @@ def unmatched() -> list[float]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words and word beginnings of each text, once a text and with its label, counted over a batch."""
+    """The words and word beginnings of each text, once a text and with its label, counted over about 50,000 of them at a time."""
+
+    def counted(counts: dict[tuple[str, bool], list[int]]) -> pa.RecordBatch:
+        keys, n = zip(*counts.items(), strict=True)
+        cols = ([k[0] for k in keys], [k[1] for k in keys], [x[0] for x in n], [x[1] for x in n])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["term", "stem", "n0", "n1"])
+
+    counts: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
-        counts: dict[tuple[str, bool], list[int]] = {}
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = set(WORD.findall((text.as_py() or "").lower()))
             for key in [(w, False) for w in words] + list({(w[:k], True) for w in words for k in STEMS if k <= len(w)}):
                 counts.setdefault(key, [0, 0])[label] += 1
-        if counts:
-            keys, n = zip(*counts.items(), strict=True)
-            cols = ([k[0] for k in keys], [k[1] for k in keys], [x[0] for x in n], [x[1] for x in n])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["term", "stem", "n0", "n1"])
+            if len(counts) > 50_000:
+                yield counted(counts)
+                counts = {}
+    if counts:
+        yield counted(counts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
