@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import shuffle_width
 
 #: Bytes of a repeated string, of a k-gram, of the text that one suffix array is built over, and of a part of a leader.
-LENGTH, GRAM, SLICE, PART = 50, 24, 1_000_000, 1_024
+LENGTH, GRAM, SLICE, PART = 50, 24, 500_000, 1_024
 #: Bytes of a k-gram of the second round.
 SECOND = 44
 #: Occurrences of a frequent gram at least, and the share of all grams (one in so many) that it is at least.
 COMMON, FREQUENT = 2_048, 65_536
 #: Minimisers of a bucket, about: what a task holds of its partition's; bytes that are hashed at once.
-BUCKET, PIECE = 500_000, 1_000_000
+BUCKET, PIECE = 500_000, 500_000
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
@@ -316,7 +316,7 @@ def frequent_grams(texts: DataFrame, length: int, k: int) -> tuple[Frequent, int
     most, grams_of = np.zeros(len(label_of), np.int64), np.zeros(len(label_of), np.int64)
     np.maximum.at(most, label, n)
     np.add.at(grams_of, label, n)
-    salts = (most * (2 * length - k) + grams_of * (length - k + 2) // 2) // (SLICE // 4) + 1
+    salts = (most * (2 * length - k) + grams_of * (length - k + 2) // 2) // (SLICE // 2) + 1
     return Frequent(gram, label, label_of[:, 0].copy(), label_of[:, 1].copy(), salts), whole
 
 
