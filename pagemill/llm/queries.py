@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontam, html_main, licences, ngram_join, omh, packing, quality, resharding, suffix_dedup, toxicity
+from pagemill.llm import ball_kmeans, decontam, fertility, html_main, licences, ngram_join, omh, packing, phrases, quality, resharding, suffix_dedup, toxicity
 from pagemill.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = (
     op1_order_minhash,
     op2_benchmark_decontamination,
@@ -67,6 +79,9 @@ REGISTERED = (
     op8_suffix_array_dedup,
     op9_quality_classifier,
     op10_licence_scan,
+    op11_ball_kmeans,
+    op12_tokeniser_fertility,
+    op13_phrase_collocations,
 )
 
 
@@ -75,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_ball_kmeans": ball_kmeans.kmeans_sql(), "op13_phrase_collocations": phrases.collocations_sql()}
