@@ -20,11 +20,16 @@ SIGNAL = r"(?i)\d+%|GPA|IELTS|TOEFL|grade|minimum|require"
 TESTS = (("IELTS", r"(?i)IELTS[^0-9]{0,8}(\d(?:\.\d)?)"), ("TOEFL", r"(?i)TOEFL[^0-9]{0,12}(\d{2,3})"), ("PTE", r"(?i)PTE[^0-9]{0,8}(\d{2,3})"), ("Duolingo", r"(?i)Duolingo[^0-9]{0,8}(\d{2,3})"))
 
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+MARKS = rf"(?i)(\d{{2,3}})\s*(?:%|percent{AFTER})"
+GPA = rf"(?i){BEFORE}GPA{AFTER}[^0-9]{{0,8}}(\d(?:\.\d{{1,2}})?)|(\d(?:\.\d{{1,2}})?)\s*GPA{AFTER}"
 
 
-def keyword_pattern(words, guarded: bool = True) -> str:
-    """An alternation of plain words, longest first, that doesn't match inside longer ASCII words; none never match."""
-    found = "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted({w.strip().lower() for w in words if w.strip()}, key=lambda w: (-len(w), w)))
+def keyword_pattern(words, guarded: bool = True, loose: bool = False) -> str:
+    """An alternation of plain words, longest first, that doesn't match inside longer ASCII words; none never match.
+
+    loose: the words of a phrase may also be joined by a hyphen, an underscore or nothing, as in addresses and ids.
+    """
+    found = "|".join(re.escape(w).replace(r"\ ", r"[\s_-]?" if loose else " ") for w in sorted({w.strip().lower() for w in words if w.strip()}, key=lambda w: (-len(w), w)))
     return f"(?i){BEFORE}(?:{found}){AFTER}" if found and guarded else f"(?i)(?:{found})" if found else r"(?!)"
 
 
@@ -51,12 +56,11 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def minimum_marks(text: Column) -> Column:
-    return F.concat(_group(text, rf"(?i)(\d{{2,3}})\s*(?:%|percent{AFTER})"), F.lit("%"))
+    return F.concat(_group(text, MARKS), F.lit("%"))
 
 
 def gpa(text: Column) -> Column:
-    pattern = rf"(?i){BEFORE}GPA{AFTER}[^0-9]{{0,8}}(\d(?:\.\d{{1,2}})?)|(\d(?:\.\d{{1,2}})?)\s*GPA{AFTER}"
-    return F.concat(F.lit("GPA "), F.coalesce(_group(text, pattern), _group(text, pattern, 2)))
+    return F.concat(F.lit("GPA "), F.coalesce(_group(text, GPA), _group(text, GPA, 2)))
 
 
 def subjects(text: Column) -> Column:

@@ -15,12 +15,13 @@ DROPPED_TYPES = (
     ".doc", ".docx", ".ppt", ".pptx", ".zip", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".mp4", ".mp3", ".avi", ".mov", ".css", ".js", ".ico",
     ".woff", ".woff2",
 )
-TWO_LABEL_SUFFIXES = tuple(
-    """edu.au com.au org.au net.au gov.au ac.uk co.uk org.uk gov.uk sch.uk ac.nz edu.nz ac.in edu.in co.in org.in ac.jp ed.jp edu.sg
-    edu.my edu.ph ac.th edu.hk edu.cn ac.kr edu.tw ac.id edu.pk ac.pk edu.bd ac.bd edu.np edu.lk ac.lk ac.za edu.eg ac.ir edu.sa ac.ae
-    edu.qa edu.kw edu.jo edu.lb edu.tr edu.mx edu.br com.br edu.co edu.ar edu.pe edu.ua edu.pl edu.ng edu.gh ac.ke edu.vn ac.at edu.ro
-    edu.gr edu.rs edu.ge edu.kz edu.ba edu.mt edu.cy""".split()
-)
+TWO_LABEL_SUFFIXES = (
+    "edu.au", "com.au", "org.au", "net.au", "gov.au", "ac.uk", "co.uk", "org.uk", "gov.uk", "sch.uk", "ac.nz", "edu.nz", "ac.in", "edu.in", "co.in",
+    "org.in", "ac.jp", "ed.jp", "edu.sg", "edu.my", "edu.ph", "ac.th", "edu.hk", "edu.cn", "ac.kr", "edu.tw", "ac.id", "edu.pk", "ac.pk", "edu.bd",
+    "ac.bd", "edu.np", "edu.lk", "ac.lk", "ac.za", "edu.eg", "ac.ir", "edu.sa", "ac.ae", "edu.qa", "edu.kw", "edu.jo", "edu.lb", "edu.tr", "edu.mx",
+    "edu.br", "com.br", "edu.co", "edu.ar", "edu.pe", "edu.ua", "edu.pl", "edu.ng", "edu.gh", "ac.ke", "edu.vn", "ac.at", "edu.ro", "edu.gr",
+    "edu.rs", "edu.ge", "edu.kz", "edu.ba", "edu.mt", "edu.cy",
+)
 SECOND_LEVEL = r"^(edu|ac|com|co|org|gov|net|sch|ed)$"
 
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)"
@@ -34,6 +35,42 @@ def host(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, ORIGIN, 2), F.lit("")))
 
 
+NOT_PAGES = r"(?i)^(mailto:|tel:|javascript:|data:|#)"
+
+
+def _without_dots(found: Column) -> Column:
+    """A path that starts with a slash, its . and .. segments worked off."""
+    parts = F.split(F.substring(found, 2, F.lit(1 << 30)), "/")
+    dot, up = (lambda s: F.lower(s).isin(".", "%2e")), (lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts, none, lambda acc, s: F.when(up(s), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(dot(s), acc).otherwise(F.concat(acc, F.array(s)))
+    )
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((dot(last) | up(last)) & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """A link as it stands in a page, resolved against the page's URL as RFC 3986 says; null for links to no page.
+
+    Scheme and host come out in lower case, without the scheme's own port; tabs and line ends inside go, blanks are escaped.
+    """
+    h = F.regexp_replace(F.trim(F.regexp_replace(href, r"[\t\r\n]", "")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    own = F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    b = F.regexp_replace(base, "#.*$", "")
+    directory = F.regexp_replace(path(b), r"[^/]*$", "")
+    origin = F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, ORIGIN, 2))
+    full = (
+        F.when(h == "", None).when(h.rlike(NOT_PAGES), None).when(own != "", F.when(h.rlike("(?i)^https?://[^/?#]"), h))
+        .when(F.startswith(h, F.lit("//")), F.concat(scheme(b), F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+        .when(F.startswith(h, F.lit("?")), F.concat(origin, path(b), h)).otherwise(F.concat(origin, directory, h))
+    )
+    authority = F.regexp_replace(F.concat(scheme(full), F.lit("://"), host(full)), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+    rest = F.regexp_extract(full, r"([?#].*)$", 1)
+    clean = F.concat(authority, _without_dots(path(full)), rest)
+    return F.when(scheme(full).isin("http", "https"), F.replace(clean, F.lit(" "), F.lit("%20")))
+
+
 def path(url: Column) -> Column:
     """The path, '/' for none; null without an origin."""
     found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)

@@ -59,35 +59,3 @@ def dice_join(names: DataFrame, key: str, grams: str, least: float) -> DataFrame
     rows = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
     value = 2 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
     return rows.select("a", "b", value.alias("dice")).filter(F.col("dice") >= least)
-
-
-def contained_items(docs: DataFrame, items: DataFrame, block: int = 500) -> DataFrame:
-    """doc_id and item_id of the items (item_id, item) that stand whole in texts (doc_id, text).
-
-    An item of three words or more is met on its inner words (the outer ones may be glued to others in a text): up to eight
-    of them, each text's runs of so many. Only keys and ids are joined; a hit's text is fetched once. Shorter items have no word
-    of their own, so they are looked for as they are, in blocks of ``block`` items.
-    """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
-    split = items.filter("item != ''").dropDuplicates(["item_id", "item"]).withColumn("w", words("item"))
-    inner = F.least(F.size("w") - 2, F.lit(8))
-    long = split.filter(F.size("w") > 2).select("item_id", "item", inner.alias("n"), F.concat_ws(" ", inner.cast("string"), gram(F.col("w"), F.lit(2), inner)).alias("key"))
-    lengths = [r["n"] for r in long.select("n").distinct().collect()]  # eight at most
-    texts = docs.select("doc_id", "text")
-    out = None
-    if lengths:
-        # The words beside their successors, so that a text of n words takes n steps (a slice a place would take n a step).
-        beside = lambda n: F.arrays_zip(*[F.slice("w", j + 1, F.greatest(F.size("w") - n + 1, F.lit(0))) for j in range(n)])
-        runs = lambda n: F.transform(beside(n), lambda z: F.concat_ws(" ", F.lit(str(n)), *[z[str(j)] for j in range(n)]))
-        keys = texts.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("key"))
-        met = keys.join(long, "key").select("doc_id", "item_id", "item").distinct()
-        out = texts.join(met, "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    short = split.filter(F.size("w") <= 2).select("item_id", "item")
-    n = -(-short.count() // block)
-    for i in range(n):
-        own = short.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == i).collect()
-        wanted = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["item"]).alias("item")) for r in own])
-        found = texts.select("doc_id", F.explode(F.filter(wanted, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("doc_id", "x.item_id")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct() if out is not None else texts.join(items, F.lit(False)).select("doc_id", "item_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pagemill.functions import text as X
 from pagemill.functions import urls
 from pagemill.plans import sqltext as S
 from pagemill.plans.source_queries import _place
-from pagemill.sources import seeds, sheets, sinks
+from pagemill.sources import seeds, sheets, sinks, versions
 
 
 def _t(spark, sf_dir, name) -> DataFrame:
@@ -169,8 +171,11 @@ def k11_state_and_audit(spark, sf_dir):
     sinks.write_state(r.select(F.col("r_regionkey").alias("k"), "r_name"), f"{path}/state")
     r.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v")).write.json(f"{path}/json")
     sinks.write_bytes(spark, f"{path}/broken", b"{not json")
-    state = {"state": spark.read.parquet(f"{path}/state"), "json": seeds.read_state(spark, f"{path}/json", "k long, v string")}
+    state = {"state": versions.read_version(spark, f"{path}/state"), "json": seeds.read_state(spark, f"{path}/json", "k long, v string")}
     state |= {"broken": seeds.read_state(spark, f"{path}/broken", "k long, v string"), "absent": seeds.read_state(spark, f"{path}/nothing", "k long, v string")}
+    with contextlib.suppress(versions.StateConflict):  # a writer that started from the first version loses
+        versions.write_version(n, f"{path}/state", based_on=1)
+    state["kept"] = versions.read_version(spark, f"{path}/state", 1)
     return sinks.audit(state)
 
 
@@ -346,7 +351,7 @@ SQL = {
     "k9_coverage_export": "select s_suppkey, s_name, '2026-01-02T03:04:05Z' as last_checked from supplier",
     "k10_split_sink": """select case when status = 'F' then 'verified' else 'review' end as part, status, count(*) as n, min(o_orderkey) as least from (
         select o_orderkey, case when o_orderkey % 4 <> 0 then o_orderstatus end as status from orders) group by 1, 2""",
-    "k11_state_and_audit": """select '{"absent":0,"broken":0,"json":' || count(*) || ',"state":' || count(*) || '}' as audit from region""",
+    "k11_state_and_audit": """select '{"absent":0,"broken":0,"json":' || count(*) || ',"kept":' || (select count(*) from nation) || ',"state":' || count(*) || '}' as audit from region""",
     "k19_restore": "select c_custkey, case when c_custkey % 3 = 0 then 'kept' else c_name end as c_name from customer",
     "k21_blobs": f"""select page_id, substr(sha256({S.CANONICAL}), 1, 12) as hash, case when page_id % 3 <> 0 then substr(url, 1, 20) else 'flat' end as body from pages""",
     "p4_log_filter": """select event_id, user_id, event_type from (select * from events where user_id % 20 = 3 and event_type in ('error', 'purchase', 'click') and ts >= timestamp '2024-01-02' order by ts desc, event_id desc limit 100)

@@ -96,15 +96,6 @@ def j18_change_monitor(spark, sf_dir):
     return diff.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def g20_snippet_match(spark, sf_dir):
-    """Benchmark items, and their first words and single words, that stand whole in documents."""
-    b = _t(spark, sf_dir, "benchmark")
-    first = b.select((-1 - F.col("item_id")).alias("item_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("item"))
-    single = b.filter("item_id < 20").select((-1000 - F.col("item_id")).alias("item_id"), F.element_at(F.split("text", " "), -1).alias("item"))
-    items = b.select("item_id", F.col("text").alias("item")).unionByName(first).unionByName(single)
-    return L.contained_items(_t(spark, sf_dir, "documents"), items)
-
-
 def g19_dice(spark, sf_dir):
     """Pairs of different part names with a bigram Dice similarity of 0.85 or more; a name stands for all its parts."""
     name = F.concat_ws(" ", "p_name", "p_type", "p_brand")
@@ -163,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a28_argmax_first_wins, a29_five_key_argmax, a31_flag_losers, a33_cross_host_collapse, a35_alias_dedupe, a36_variant_collapse, j9_candidate_key,
-        j15_hysteresis, j16_run_diff, j18_change_monitor, g19_dice, g20_snippet_match, w8_newest_edition, x6_stream_hosts, x7_stream_equals_batch,
+        j15_hysteresis, j16_run_diff, j18_change_monitor, g19_dice, w8_newest_edition, x6_stream_hosts, x7_stream_equals_batch,
         x9_throttle_replay, x9_stream_throttle, x10_governor_replay, d10_html_blocks, d13_chunks,
     )
 }
@@ -202,8 +193,6 @@ SQL = {
         g as (select k, substr(s, i, 2) as g, count(*) as n from (select k, s, unnest(range(1, length(s))) as i from p) group by 1, 2),
         m as (select x.k as a, y.k as b, sum(least(x.n, y.n)) as shared from g x join g y on x.g = y.g and x.k < y.k group by 1, 2)
         select a, b, round(2 * shared::double / (length(p.s) + length(q.s) - 2), 6) as dice from m join p on p.k = a join p q on q.k = b where 2 * shared::double / (length(p.s) + length(q.s) - 2) >= 0.85""",
-    "g20_snippet_match": """with i as (select item_id, text as item from benchmark union all select -1 - item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') from benchmark
-        union all select -1000 - item_id, list_extract(string_split(text, ' '), -1) from benchmark where item_id < 20) select distinct doc_id, item_id from documents d join i on contains(d.text, item)""",
     "w8_newest_edition": f"""select host, branch, year, page_id from (select page_id, {S.HOST} as host,
         coalesce({S.SEGMENTS}[1], cast(2020 + page_id % 5 as varchar)) as branch, 2020 + page_id % 5 as year from pages)
         qualify row_number() over (partition by host, branch order by year desc, page_id) = 1""",

@@ -173,14 +173,6 @@ def d4_arrays(spark, sf_dir):
     )
 
 
-def d14_anchor(spark, sf_dir):
-    """The best-named link of a page and the deep link to it."""
-    hrefs = F.expr("regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)")
-    scored = F.transform(hrefs, lambda h, i: F.struct(F.when(h.rlike("^(the|and|la|de)$"), 2).when(F.length(h) >= 6, 1).otherwise(0).alias("s"), (-i).alias("i"), h.alias("h")))
-    best = F.array_max(scored)
-    return _t(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#"), best["h"]).alias("deep_link"), best["s"].alias("score"))
-
-
 def c9_validate_target(spark, sf_dir):
     """Outcome, confidence and evidence of a page as a target."""
     t = X.html_text(F.col("html"))
@@ -243,7 +235,7 @@ QUERIES = {
     for f in (
         w1_append_sequence, a17_attribution, a18_cube, a21_compare, a24_last_run, j12_named_lookup, j21_skip_stopped, j24_host_probe, j26_fallback_rows,
         k16_cascade, k17_align_feed, p8_pattern_filter, p16_ordered_reasons, p18_fallback_status, x5_admission, g4_course_names, g21_json_span, g23_formats,
-        d1_dates, d4_arrays, d14_anchor, c9_validate_target, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
+        d1_dates, d4_arrays, c9_validate_target, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
     )
 }
 
@@ -287,8 +279,6 @@ SQL = {
     "d4_arrays": """select conv_id, string_agg(distinct role, ',' order by role) as roles, count(*) filter (where length(text) > 100) as long_turns,
         array_to_string(list_slice(list(cast(turn as varchar) order by turn, role, length(text)), 1, 4), ',') as first_four, bool_or(role = 'system') as has_system,
         bool_and(length(text) > 0) as all_said from conversations group by 1""",
-    "d14_anchor": """select page_id, regexp_replace(url, '#.*$', '') || '#' || b.h as deep_link, b.s as score from (select page_id, url, list_max(list_transform(
-        regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda h, i: {'s': case when h in ('the', 'and', 'la', 'de') then 2 when length(h) >= 6 then 1 else 0 end, 'i': -i, 'h': h})) as b from pages)""",
     "c9_validate_target": f"""select page_id, outcome, (case outcome when 'VALIDATED' then 0.97 when 'SHARED' then 0.7 when 'NEEDS_REVIEW' then 0.3 else 0.0 end)::double as confidence
         from (select page_id, case when length({_HTML}) < 1000 then 'REJECTED' when {S.DEPTH} <= 2 and {S.SEGMENTS}[1] = 'en' then 'VALIDATED' when {S.DEPTH} <= 2 then 'SHARED'
         else 'NEEDS_REVIEW' end as outcome from pages)""",

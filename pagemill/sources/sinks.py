@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.sources import versions
 from pagemill.sources.sheets import write_workbook
 
 
@@ -48,9 +49,11 @@ def markdown_lines(df: DataFrame, group: str, line: F.Column) -> DataFrame:
     return heads.union(rows.select("g", F.lit(1), F.concat(F.lit("- "), "value"))).orderBy("g", "o", "value")
 
 
-def write_state(df: DataFrame, path: str) -> None:
-    """State is replaced by Spark's commit protocol: readers see the old files or the new ones."""
-    df.write.mode("overwrite").parquet(path)
+def write_state(df: DataFrame, path: str) -> int:
+    """State is replaced as a whole (see versions): a write that fails leaves what was there."""
+    done = versions.write_version(df, path)
+    versions.vacuum(df.sparkSession, path)
+    return done
 
 
 def audit(counts: dict[str, DataFrame]) -> DataFrame:
