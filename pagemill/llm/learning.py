@@ -25,5 +25,11 @@ def training_ids(labels: DataFrame, label: str, folds: int, held: int, most: int
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text and label of the chosen rows. ``ids`` is bounded by training_ids, so it may be broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """doc_id, text and label of the chosen documents. ``ids`` is bounded by training_ids, so it may be broadcast.
+
+    An id gives one row, however often it stands: of several texts under it the smallest by its digest. So repeated rows
+    count once, and what trains is bounded in rows as it is in ids.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # Digests decide, so that a text travels once: rows of an id are put together within tasks first.
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.md5("text").alias("digest"), "text", "label")).alias("first")).select("doc_id", "first.text", "first.label")

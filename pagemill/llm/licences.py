@@ -42,6 +42,9 @@ HEADER = r"(?i)(?<![a-z])(licen[sc]ed?|licen[sc]es|copyright|spdx-license-identi
 # What a text that is a licence as a whole can't do without; HEADER's words are among them.
 LIKE = r"(?i)(?<![a-z])(licen[sc]e|copyright|spdx-license|all rights reserved|public domain|permission|redistribution|warrant(y|ies))"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+HEADER_WORD = r"(?i)(licen[sc]ed?|licen[sc]es|copyright|spdx-license-identifier)(?![a-z])"
+#: Words of a sentence whose header words are looked round, and the lengths of what is compared there.
+LONG_SENTENCE, WINDOWS = 16, (5, 8, 12)
 LEAST, SHARE, WORD = 0.75, 0.5, r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -103,8 +106,25 @@ def whole_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
 def header_lines(like: DataFrame) -> DataFrame:
     """path, chars (of the text), key (of the text) and line: the lines of (path, text) that speak of a licence."""
     lines = like.select("path", F.length("text").alias("chars"), F.xxhash64("text").alias("key"), F.explode(F.split("text", r"\R")).alias("line")).filter(F.col("line").rlike(HEADER))
-    # A header line may stand in a long line of prose: its sentence is what is compared.
-    return lines.select("path", "chars", "key", F.explode(F.split("line", r"(?<=[.!?;])\s+(?=[A-Z])")).alias("line")).filter(F.col("line").rlike(HEADER))
+    # A header may stand in a long line of prose: its sentence is compared, whatever letter the next one begins with, and of a
+    # long sentence also the words round each header word. Only sentences that end before a capital count for a file's share.
+    words = lambda s: F.split(s, r"\s+")
+    plain, loose = F.split("line", r"(?<=[.!?;])\s+(?=[A-Z])"), F.split("line", r"(?<=[.!?;])\s+")
+    near = F.flatten(F.transform(F.filter(loose, lambda s: s.rlike(HEADER) & (F.size(words(s)) > LONG_SENTENCE)), lambda s: _windows(words(s))))
+    more = F.array_except(F.concat(loose, near), plain)
+    parts = F.concat(_marked(plain, True), _marked(more, False))
+    return lines.select("path", "chars", "key", F.explode(parts).alias("p")).select("path", "chars", "key", "p.line", "p.counts").filter(F.col("line").rlike(HEADER))
+
+
+def _marked(parts: F.Column, counts: bool) -> F.Column:
+    return F.transform(parts, lambda p: F.struct(p.alias("line"), F.lit(counts).alias("counts")))
+
+
+def _windows(words: F.Column) -> F.Column:
+    """The words from each header word, and from some before it, in the lengths that headers have."""
+    cut = lambda i, back, n: F.array_join(F.slice(words, F.greatest(i + 1 - back, F.lit(1)), F.lit(n)), " ")
+    near = F.transform(words, lambda w, i: F.when(w.rlike(HEADER_WORD), F.array(*[cut(i, back, n) for back in (0, 4) for n in WINDOWS])))
+    return F.flatten(F.filter(near, lambda x: x.isNotNull()))
 
 
 def header_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
@@ -127,7 +147,7 @@ def header_matches(like: DataFrame, least: float = LEAST) -> DataFrame:
     dots = a.join(F.broadcast(b), "word").groupBy("line", "licence", "form").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = dots.join(norms, "line").join(F.broadcast(sizes), ["licence", "form"]).select("line", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 9).alias("score"))
     best = cosine.filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("m"))
-    found = lines.join(best, "line").groupBy("path", "key").agg(F.min("m").alias("m"), (F.sum(F.length("line")) >= SHARE * F.max("chars")).alias("mostly"))
+    found = lines.join(best, "line").groupBy("path", "key").agg(F.min("m").alias("m"), (F.sum(F.when(F.col("counts"), F.length("line")).otherwise(0)) >= SHARE * F.max("chars")).alias("mostly"))
     found = found.groupBy("path").agg(F.min("m").alias("m"), F.max("mostly").alias("mostly"))
     return found.select("path", F.col("m.licence").alias("licence"), (-F.col("m.minus")).alias("score"), (F.col("mostly") | F.col("path").rlike(FILE_NAME)).alias("is_file"))
 

@@ -491,7 +491,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     """doc_id, n_shingles, component_id of every row: documents whose sets have num / den of their union in common link.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with the same doc_id are taken as one document's
-    repeats if their texts are equal; ids are expected to name one text. Components are exact: no cap anywhere.
+    repeats if their texts are equal; ids are expected to name one text. A row with a null id has the component of the rows
+    whose set equals its own (null where none has an id), and makes no link. Components are exact: no cap anywhere.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)

@@ -503,3 +503,55 @@ def test_licences_of_root_and_repeated_rows(spark):
     assert sorted(got) == sorted([("LICENSE", "ISC", "own", "LICENSE"), *[("d/e", "MIT", "own", "d/e")] * 2, *inherited])
     docs = spark.createDataFrame([(None, header, "en", "s"), (1, header, "en", "s"), (2, "text", "en", "s")], "doc_id long, text string, lang string, source string")
     assert sorted(((r["doc_id"], r["licence"], r["source"]) for r in licences.scan_documents(docs).collect()), key=str) == [(1, "MIT", "own"), (2, "MIT", "inherited"), (None, None, "none")]
+
+
+def test_headers_in_running_text(spark):
+    """A header whose next word is no capital, and one in the midst of a sentence, are found before anything is inherited."""
+    rest = " ".join(f"word{i}" for i in range(50))
+    files = [("p/a.txt", f"Licensed under the MIT License. {rest}"), ("p/b.txt", f"{rest} licensed under the Apache License, version 2.0 {rest}"), ("p/c.txt", rest), ("LICENSE", "Released under the BSD 3-Clause License.")]
+    got = {r["path"]: (r["licence"], r["source"]) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"p/a.txt": ("MIT", "own"), "p/b.txt": ("Apache-2.0", "own"), "p/c.txt": ("BSD-3-Clause", "inherited"), "LICENSE": ("BSD-3-Clause", "own")}
+
+
+def page_texts(spark, *pages):
+    rows = [(i, f"https://a.org/{i}", h) for i, h in enumerate(pages)]
+    return [r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_readers_comments_and_teasers_go_and_titles_stay(spark):
+    assert page_texts(
+        spark,
+        '<article><div id="comments"><article class="comment">reader says hi</article></div><p>real text</p></article>',
+        '<article><p>body</p><div class="related"><article>teaser</article></div></article>',
+        '<main><article><p>body</p></article><div class="related"><article>teaser</article></div></main>',
+        "<article><header><h1>Title</h1><p>by me</p></header><p>text</p></article>",
+        '<article>own</article><section id="comments"><article class="comment">hi</article></section>',
+        '<div class="widget"><main><article>kept</article></main></div>',
+    ) == ["real text", "body", "body", "Title text", "own", "kept"]
+
+
+def test_copies_without_a_main_element_stay(spark):
+    """Copies at two addresses keep their body; what different pages share goes, but no page is left empty by it."""
+    body, menu = " ".join(f"w{i}" for i in range(12)), " ".join(f"m{i}" for i in range(10))
+    same = page_texts(spark, f"<div>{body}</div>", f"<div>{body}</div>")
+    assert same == [body, body]
+    other = " ".join(f"o{i}" for i in range(12))
+    assert page_texts(spark, f"<div>{menu}</div><div>{body}</div>", f"<div>{menu}</div><div>{body}</div>", f"<div>{menu}</div><div>{other}</div>") == [body, body, other]
+    assert page_texts(spark, f"<div>{body}</div>", f"<div>{body}</div><div>and more</div>")[0] == body
+
+
+def test_copies_on_a_large_host_stay(spark, monkeypatch):
+    """The same when the host's pages are dealt to parts."""
+    monkeypatch.setattr(html_main, "GROUP_BYTES", 400)
+    menu = " ".join(f"m{i}" for i in range(10))
+    bodies = [" ".join(f"w{j}x{i}" for i in range(12)) for j in range(12)] + ["all the same words stand in here twice or more times"] * 4
+    assert page_texts(spark, *[f"<div>{menu}</div><div>{b}</div>" for b in bodies]) == bodies
+
+
+def test_repeated_rows_of_labelled_documents_train_once(spark):
+    from pagemill.llm.learning import labelled_texts, training_ids
+
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(2, "b"), (2, "b"), (2, "c"), (3, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(1, 1)] * 5, "doc_id long, toxic int")
+    rows = labelled_texts(docs, training_ids(labels, "toxic", 1, 9, 100)).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2, 3] and all(r["label"] == r["doc_id"] % 2 for r in rows)
