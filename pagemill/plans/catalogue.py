@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import evidence_queries, export_queries, linkage_queries, more_queries, relational_queries, relational_sql, source_queries, text_queries, url_queries
+from pagemill.plans import evidence_queries, export_queries, linkage_queries, more_queries, relational_queries, relational_sql, source_queries, state_queries, text_queries, url_queries
 
 FLAGSHIP = "f1_canonical_url"
 FAMILIES = (
@@ -18,6 +18,7 @@ FAMILIES = (
     (more_queries.QUERIES, more_queries.SQL),
     (export_queries.QUERIES, export_queries.SQL),
     (evidence_queries.QUERIES, evidence_queries.SQL),
+    (state_queries.QUERIES, state_queries.SQL),
 )
 
 
