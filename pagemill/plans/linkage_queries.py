@@ -89,7 +89,7 @@ def j16_run_diff(spark, sf_dir):
 
 
 def j18_change_monitor(spark, sf_dir):
-    """Kinds of change between two crawls of sources, by digests of their texts."""
+    """Kinds of change between two readings of sources, by digests of their texts."""
     d = _t(spark, sf_dir, "documents")
     run = lambda p: d.filter(p).groupBy("source", "lang").agg(F.sum("n_chars").alias("digest"))
     diff = L.diff_runs(run("doc_id % 2 = 0"), run("doc_id % 2 = 1"), ["source", "lang"], "digest")

@@ -104,13 +104,6 @@ def p8_pattern_filter(spark, sf_dir):
     return _t(spark, sf_dir, "pages").filter(address.rlike("/(en|fr)/[0-9]*[05]([^0-9]|$)")).select("page_id")
 
 
-def p16_ordered_reasons(spark, sf_dir):
-    """The first reason against a document, or none."""
-    t = F.col("text")
-    reason = F.when(F.length(t) < 100, "too_short").when(t.rlike("[!][!]"), "shouting").when(t.rlike("[#$%&*]{3}"), "symbols").when(F.col("lang") != "en", "language")
-    return _t(spark, sf_dir, "documents").select("doc_id", reason.alias("reason"))
-
-
 def p18_fallback_status(spark, sf_dir):
     """An order works by its price where there is one in range, else by its status."""
     o = _t(spark, sf_dir, "orders")
@@ -173,16 +166,6 @@ def d4_arrays(spark, sf_dir):
     )
 
 
-def c9_validate_target(spark, sf_dir):
-    """Outcome, confidence and evidence of a page as a target."""
-    t = X.html_text(F.col("html"))
-    rows = _t(spark, sf_dir, "pages").select("page_id", "url", t.alias("t"))
-    shallow, long, branch = urls.depth(F.col("url")) <= 2, F.length("t") >= 1000, urls.branch(F.col("url"))
-    outcome = F.when(~long, "REJECTED").when(shallow & branch.isin("en"), "VALIDATED").when(shallow, "SHARED").otherwise("NEEDS_REVIEW")
-    points = F.when(outcome == "VALIDATED", 0.97).when(outcome == "SHARED", 0.7).when(outcome == "NEEDS_REVIEW", 0.3).otherwise(0.0)
-    return rows.select("page_id", outcome.alias("outcome"), points.alias("confidence"))
-
-
 def c21_decision_table(spark, sf_dir):
     """What to do with an order by a table of status and size."""
     table = spark.createDataFrame([("F", "small", "skip"), ("F", "large", "check"), ("O", "small", "wait"), ("O", "large", "fetch"), ("P", "large", "fetch")], "o_orderstatus string, size string, action string")
@@ -234,13 +217,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         w1_append_sequence, a17_attribution, a18_cube, a21_compare, a24_last_run, j12_named_lookup, j21_skip_stopped, j24_host_probe, j26_fallback_rows,
-        k16_cascade, k17_align_feed, p8_pattern_filter, p16_ordered_reasons, p18_fallback_status, x5_admission, g4_course_names, g21_json_span, g23_formats,
-        d1_dates, d4_arrays, c9_validate_target, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
+        k16_cascade, k17_align_feed, p8_pattern_filter, p18_fallback_status, x5_admission, g4_course_names, g21_json_span, g23_formats,
+        d1_dates, d4_arrays, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
     )
 }
 
-_HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
-    '(?s)<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'), '^ | $', '', 'g')"""
 _NORM = "lower(regexp_replace(trim(n_name), '[^A-Za-z]+', '_', 'g'))"
 SQL = {
     "w1_append_sequence": """select s_suppkey, coalesce((select max(c_custkey) from customer where c_nationkey = s_nationkey), -1)
@@ -262,8 +243,6 @@ SQL = {
         union all select 'suppliers', count(*) from supplier where s_nationkey >= 5""",
     "k17_align_feed": "select case when o_totalprice > 150000 then 'VALIDATED' when o_orderstatus = 'F' then 'DEMOTED' else o_orderstatus end as state, count(*) as n from orders group by 1",
     "p8_pattern_filter": "select page_id from pages where regexp_matches(lower(url), '/(en|fr)/[0-9]*[05]([^0-9]|$)')",
-    "p16_ordered_reasons": """select doc_id, case when length(text) < 100 then 'too_short' when contains(text, '!!') then 'shouting'
-        when regexp_matches(text, '[#$%&*]{3}') then 'symbols' when lang <> 'en' then 'language' end as reason from documents""",
     "p18_fallback_status": """select case when o_orderkey % 3 <> 0 then (o_orderkey % 5 + 1) * 100 between 200 and 399 else o_orderstatus in ('F', 'P') end as works,
         count(*) as n from orders group by 1""",
     "x5_admission": f"""select page_id, case when rn > 1 then 'duplicate' when {S.DEPTH} > 2 then 'too_deep' when coalesce({S.SEGMENTS}[1], '') not in ('en', 'fr') then 'out_of_scope'
@@ -279,9 +258,6 @@ SQL = {
     "d4_arrays": """select conv_id, string_agg(distinct role, ',' order by role) as roles, count(*) filter (where length(text) > 100) as long_turns,
         array_to_string(list_slice(list(cast(turn as varchar) order by turn, role, length(text)), 1, 4), ',') as first_four, bool_or(role = 'system') as has_system,
         bool_and(length(text) > 0) as all_said from conversations group by 1""",
-    "c9_validate_target": f"""select page_id, outcome, (case outcome when 'VALIDATED' then 0.97 when 'SHARED' then 0.7 when 'NEEDS_REVIEW' then 0.3 else 0.0 end)::double as confidence
-        from (select page_id, case when length({_HTML}) < 1000 then 'REJECTED' when {S.DEPTH} <= 2 and {S.SEGMENTS}[1] = 'en' then 'VALIDATED' when {S.DEPTH} <= 2 then 'SHARED'
-        else 'NEEDS_REVIEW' end as outcome from pages)""",
     "c21_decision_table": """select case o_orderstatus when 'F' then case when o_totalprice > 150000 then 'check' else 'skip' end when 'O' then case when o_totalprice > 150000 then 'fetch'
         else 'wait' end when 'P' then case when o_totalprice > 150000 then 'fetch' else 'none' end else 'none' end as action, count(*) as n from orders group by 1""",
     "x8_branch_gate": """select o_orderkey, visits from (select o_orderkey, count(*) over w as visits, coalesce(bool_or(o_orderstatus = 'F') over w, false) as yielded from orders

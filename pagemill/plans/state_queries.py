@@ -62,8 +62,8 @@ def _frontier_sql() -> str:
     ]
     rounds = BUDGET // PER_ROUND + DEEPEST  # a round takes fewer only where fewer are pending, which is at the start
     for r in range(1, rounds + 1):
-        parts.append(f"b{r} as (select node, depth from k{r - 1} where round is null
-            qualify row_number() over (order by score desc, depth, encode(node)) <= least({PER_ROUND}, {BUDGET} - (select count(*) from k{r - 1} where round is not null)))")
+        parts.append(f"""b{r} as (select node, depth from k{r - 1} where round is null
+            qualify row_number() over (order by score desc, depth, encode(node)) <= least({PER_ROUND}, {BUDGET} - (select count(*) from k{r - 1} where round is not null)))""")
         parts.append(f"""k{r} as (select node, score, depth, coalesce(round, case when node in (select node from b{r}) then {r} end) as round from k{r - 1}
             union all select f.node, coalesce(s.score, 0), f.depth, null from (select dst as node, min(depth) + 1 as depth from b{r} join edges on src = node where depth < {DEEPEST}
             and dst not in (select node from k{r - 1}) group by dst) f left join scores s using (node))""")

@@ -1,4 +1,4 @@
-"""Queries over texts: keywords, fields, sentences, fingerprints, classes, link scores."""
+"""Queries over texts: word lists, fields, sentences, fingerprints, classes, link scores."""
 
 from __future__ import annotations
 
@@ -14,12 +14,12 @@ VOCABULARY = {"common": ("the", "of the", "that"), "french": ("les", "des", "une
 #: Host texts have few admission fields, so the rules read each whole text behind a line built from the document's number.
 LINE = (
     "concat('Minimum ', 50 + doc_id % 50, '% and GPA ', 1 + doc_id % 4, '.', doc_id % 10, '. ', if(doc_id % 3 = 0, 'IELTS 6.5 and TOEFL 90. ', ''),"
-    " if(doc_id % 4 = 0, 'Mathematics and Physics are required. ', ''), if(doc_id % 5 = 0, 'The SAT is accepted. ', ''),"
+    " if(doc_id % 4 = 0, 'Mathematics and Physics are required. ', ''), if(doc_id % 5 = 0, 'The SAT is taken. ', ''),"
     " if(doc_id % 7 = 0, 'Bachelor of Science. ', ''), coalesce(text, ''))"
 )
 SQL_LINE = (
     "'Minimum ' || (50 + doc_id % 50) || '% and GPA ' || (1 + doc_id % 4) || '.' || (doc_id % 10) || '. ' || case when doc_id % 3 = 0 then 'IELTS 6.5 and TOEFL 90. ' else '' end ||"
-    " case when doc_id % 4 = 0 then 'Mathematics and Physics are required. ' else '' end || case when doc_id % 5 = 0 then 'The SAT is accepted. ' else '' end ||"
+    " case when doc_id % 4 = 0 then 'Mathematics and Physics are required. ' else '' end || case when doc_id % 5 = 0 then 'The SAT is taken. ' else '' end ||"
     " case when doc_id % 7 = 0 then 'Bachelor of Science. ' else '' end || coalesce(text, '')"
 )
 
@@ -63,7 +63,7 @@ def g15_eligibility_fields(spark, sf_dir):
     fields = {"academic": ("minimum", "gpa"), "english": ("ielts", "toefl"), "subjects": ("mathematics", "physics"), "exams": ("sat",)}
     found = {k: X.evidence_sentences(t, w) for k, w in fields.items()}
     points = sum((F.when(v.isNotNull(), 25).otherwise(0) for v in found.values()), F.lit(0))
-    return _lines(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in found.items()], points.alias("completeness"))
+    return _lines(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in found.items()], points.alias("points"))
 
 
 def g22_html_text(spark, sf_dir):
@@ -76,7 +76,7 @@ def g22_html_text(spark, sf_dir):
 
 
 def c1_classify_url(spark, sf_dir):
-    """Class and reason of a URL by ordered rules, and what the crawl contexts may fetch."""
+    """Class and reason of a URL by ordered rules, and what each purpose may read."""
     u = F.col("url")
     rows = _t(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.regexp_replace(u, r"[?#].*$", ""), F.element_at(F.array(*map(F.lit, C.SAMPLE_TAILS)), (F.col("page_id") % len(C.SAMPLE_TAILS) + 1).cast("int"))).alias("sample"))
     seen = C.page_class(F.col("sample"))
@@ -102,8 +102,8 @@ def c7_page_status(spark, sf_dir):
 def c10_validity_tally(spark, sf_dir):
     """A status code made from each event, its verdict, counted."""
     code = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 17 == 0, 404).when(F.col("event_id") % 13 == 0, 301).otherwise(200)
-    rows = _t(spark, sf_dir, "events").select(C.verdict(code).alias("validity"))
-    return rows.groupBy("validity").agg(F.count("*").alias("n"))
+    rows = _t(spark, sf_dir, "events").select(C.verdict(code).alias("verdict"))
+    return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def c13_review_status(spark, sf_dir):
@@ -126,7 +126,7 @@ def c16_candidate_filter(spark, sf_dir):
 
 
 def c18_ordinal(spark, sf_dir):
-    """Rank points of orders, summed and cut to a confidence."""
+    """Rank points of orders, summed and cut to a confidence."""
     o = _t(spark, sf_dir, "orders")
     rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 2).otherwise(1)
     score = rank * 10 + F.when(F.col("o_totalprice") > 150000, 3).otherwise(0) + F.when(F.col("o_orderpriority").like("1-%"), 2).otherwise(0)
@@ -196,7 +196,7 @@ SQL = {
         select doc_id, line, instr(line, 'GPA') as pos, list_max(list_transform({_SENT}, lambda s, i: {{'n': case when length(s) >= 25 then len(regexp_extract_all(s, '(?i)\d+%|GPA|IELTS|TOEFL|grade|minimum|require')) else -1 end, 'i': -i, 's': s}})) as s from {_L})""",
     "g15_eligibility_fields": "select *, "
     + " + ".join(f"case when {k} is not null then 25 else 0 end" for k in _FIELDS)
-    + " as completeness from (select doc_id, "
+    + " as points from (select doc_id, "
     + ", ".join(f"nullif(array_to_string(list_slice(list_filter({_SENT}, lambda s: {_any('s', w)}), 1, 3), ' | '), '') as {k}" for k, w in _FIELDS.items())
     + f" from {_L})",
     "g22_html_text": f"""select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title, (length(html) - length(replace(html, '<a href=', ''))) // 8 as n_links,
@@ -204,7 +204,7 @@ SQL = {
     "c1_classify_url": C.sql_page_class(_SAMPLE),
     "c3_link_score": C.sql_link_score(_SAMPLE),
     "c7_page_status": f"select page_id, {C.sql_page_status('t')} as status from (select page_id, {_HTML} as t from pages)",
-    "c10_validity_tally": f"""select {C.SQL_VERDICT} as validity, count(*) as n from (select case when event_type = 'error' then 500 when event_id % 17 = 0 then 404
+    "c10_validity_tally": f"""select {C.SQL_VERDICT} as verdict, count(*) as n from (select case when event_type = 'error' then 500 when event_id % 17 = 0 then 404
         when event_id % 13 = 0 then 301 else 200 end as code from events) group by 1""",
     "c13_review_status": """select case when dup then 'DUPLICATE' when quality is null then 'NEEDS_EVIDENCE' when toxic = 1 then 'REJECTED' when quality = 1 then 'APPROVED'
         else 'PENDING_REVIEW' end as review_status, count(*) as n from (select *, row_number() over (partition by text order by doc_id) > 1 as dup

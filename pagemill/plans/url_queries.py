@@ -1,4 +1,4 @@
-"""Queries over the URLs of the crawled pages."""
+"""Queries over the URLs of pages."""
 
 from __future__ import annotations
 
