@@ -16,7 +16,7 @@ def test_courses(spark):
         (1, "COURSE_PAGE", "u", "", None, True, 0), (2, "COURSE_PAGE", "u", "", " \n", True, 0), (3, "FUNDING_PAGE", "u", "", "text", True, 0),
         (4, "COURSE_PAGE", "u", "", COURSE + "Home students pay less. IELTS", True, 0), (5, "COURSE_PAGE", "u", "", "IELTS 6.5", True, 0), (6, "COURSE_PAGE", "u", "", "IELTS 6.5, full-time; modules", False, 0),
         (7, "COURSE_PAGE", "u", "MSc Physics", "nothing", True, 0), (8, "COURSE_PAGE", "u", "", COURSE, False, 3), (9, "COURSE_PAGE", "u", "", LONG + COURSE, False, 1), (10, "ADMISSIONS_PAGE", "u", "", COURSE + "IELTS", True, 0),
-        (11, "OTHER", "u", "", COURSE, True, 0), (12, "COURSE_PAGE", "u", "", "Bachelor.\nEntry_requirements apply", False, 0), (13, "COURSE_PAGE", "u", "maître embassy", "pteropod toeflike", True, 0),
+        (11, "OTHER", "u", "", COURSE, True, 0), (12, "COURSE_PAGE", "u", "", "Bachelor.\nEntry_requirements apply", False, 0), (13, "COURSE_PAGE", "u", "mastery embassy", "pteropod toeflike", True, 0),
     ]
     assert verdicts(spark, rows, T.course_target(c("class"), c("title"), c("text"), c("anchor"), c("facts"))) == [
         ("REJECTED", "no page text", 0.0), ("REJECTED", "no page text", 0.0), ("REJECTED", "scholarship page", 0.0), ("DISCOVERY_ONLY", "for residents only", 0.2),
