@@ -145,7 +145,7 @@ def course_target(page_class: Column, title: Column, text: Column, has_anchor: C
     award = _like(title, AWARD) | _like(F.substring(text, 1, 600), AWARD)
     signals = award.cast("int") + _like(text, STRUCTURE).cast("int") + (_like(text, DETAIL) | (facts >= 1)).cast("int")
     own = page_class == "COURSE_PAGE"
-    out = F.when(F.coalesce(F.trim(text), F.lit("")) == "", _verdict("REJECTED", "no page text", 0.0)).when(page_class.isin(*SCHOLARSHIPS), _verdict("REJECTED", "scholarship page", 0.0))
+    out = F.when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), _verdict("REJECTED", "no page text", 0.0)).when(page_class.isin(*SCHOLARSHIPS), _verdict("REJECTED", "scholarship page", 0.0))
     if not all_audiences:
         out = out.when(speaks_of(text, RESIDENTS), _verdict("DISCOVERY_ONLY", "for residents only", 0.2))
     out = (
@@ -164,7 +164,7 @@ def scholarship_target(page_class: Column, url: Column, title: Column, text: Col
     own = page_class == "SCHOLARSHIP_PAGE"
     hits = F.regexp_count(text, F.lit(X.keyword_pattern(FUNDING, loose=True)))
     named = speaks_of(F.lower(url), FUNDING) | speaks_of(F.lower(title), FUNDING)
-    out = F.when(F.coalesce(F.trim(text), F.lit("")) == "", _verdict("REJECTED", "no page text", 0.0)).when(page_class.isin(*COURSES), _verdict("REJECTED", "course page", 0.0))
+    out = F.when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), _verdict("REJECTED", "no page text", 0.0)).when(page_class.isin(*COURSES), _verdict("REJECTED", "course page", 0.0))
     if not all_audiences:
         out = out.when(speaks_of(text, RESIDENTS), _verdict("DISCOVERY_ONLY", "for residents only", 0.2))
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,28 +56,36 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def mentions(text: Column, *words: str) -> Column:
+    """Whether a text has any of some lower-case ASCII words, in any case and place: a plain search, for patterns that cost more."""
+    low = F.lower(text)
+    return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+
+
 def minimum_marks(text: Column) -> Column:
-    return F.concat(_group(text, MARKS), F.lit("%"))
+    return F.when(mentions(text, "%", "percent"), F.concat(_group(text, MARKS), F.lit("%")))
 
 
 def gpa(text: Column) -> Column:
-    return F.concat(F.lit("GPA "), F.coalesce(_group(text, GPA), _group(text, GPA, 2)))
+    return F.when(mentions(text, "gpa"), F.concat(F.lit("GPA "), F.coalesce(_group(text, GPA), _group(text, GPA, 2))))
 
 
 def subjects(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){BEFORE}{s}{AFTER}"), F.lit(s)) for s in SUBJECTS]))
+    return F.array_compact(F.array(*[F.when(mentions(text, s.lower()) & text.rlike(f"(?i){BEFORE}{s}{AFTER}"), F.lit(s)) for s in SUBJECTS]))
 
 
 def entrance_exam(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(f"(?i){BEFORE}{e}{AFTER}"), F.lit(e)) for e in EXAMS])
+    return F.coalesce(*[F.when(mentions(text, e.lower()) & text.rlike(f"(?i){BEFORE}{e}{AFTER}"), F.lit(e)) for e in EXAMS])
 
 
 def english_requirement(text: Column) -> Column:
-    return F.nullif(F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), _group(text, p)) for n, p in TESTS]), F.lit(""))
+    return F.nullif(F.concat_ws(", ", *[F.when(mentions(text, n.lower()), F.concat(F.lit(f"{n} "), _group(text, p))) for n, p in TESTS]), F.lit(""))
 
 
 def degree_level(text: Column) -> Column:
-    return F.when(text.rlike(f"(?i){BEFORE}diploma{AFTER}"), "Diploma").when(has_any(text, COURSES), "Bachelor").otherwise("Other")
+    return F.when(mentions(text, "diploma") & text.rlike(f"(?i){BEFORE}diploma{AFTER}"), "Diploma").when(
+        mentions(text, *[w.lower() for w in COURSES]) & has_any(text, COURSES), "Bachelor"
+    ).otherwise("Other")
 
 
 def confidence(fields: list[Column]) -> Column:
