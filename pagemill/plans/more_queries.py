@@ -121,15 +121,6 @@ def x5_admission(spark, sf_dir):
     return rows.select("page_id", step.alias("step"))
 
 
-def g4_course_names(spark, sf_dir):
-    """Names from parts: before the first blank, the longest word, a code where there is one."""
-    p = _t(spark, sf_dir, "part")
-    words = F.split("p_name", " ")
-    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
-    code = F.nullif(F.regexp_extract(F.upper("p_brand"), r"([A-Z]+#?[0-9]+)", 1), F.lit(""))
-    return p.select("p_partkey", F.initcap(F.substring_index("p_name", " ", 1)).alias("first"), longest.alias("longest"), code.alias("code"))
-
-
 def g21_json_span(spark, sf_dir):
     """The braces within fenced answers, read with a schema; what isn't a record gives nothing."""
     raw = F.concat(F.lit("Here you are:\n```json\n"), F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct("event_id", "event_type"))).otherwise(F.lit("{broken")), F.lit("\n```"))
@@ -217,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         w1_append_sequence, a17_attribution, a18_cube, a21_compare, a24_last_run, j12_named_lookup, j21_skip_stopped, j24_host_probe, j26_fallback_rows,
-        k16_cascade, k17_align_feed, p8_pattern_filter, p18_fallback_status, x5_admission, g4_course_names, g21_json_span, g23_formats,
+        k16_cascade, k17_align_feed, p8_pattern_filter, p18_fallback_status, x5_admission, g21_json_span, g23_formats,
         d1_dates, d4_arrays, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
     )
 }
@@ -247,9 +238,6 @@ SQL = {
         count(*) as n from orders group by 1""",
     "x5_admission": f"""select page_id, case when rn > 1 then 'duplicate' when {S.DEPTH} > 2 then 'too_deep' when coalesce({S.SEGMENTS}[1], '') not in ('en', 'fr') then 'out_of_scope'
         else 'queued' end as step from (select *, row_number() over (partition by {S.CANONICAL} order by page_id) as rn from pages)""",
-    "g4_course_names": r"""select p_partkey, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) as first,
-        list_max(list_transform(string_split(p_name, ' '), lambda w, i: {'n': length(w), 'i': -i, 'w': w})).w as longest,
-        nullif(regexp_extract(upper(p_brand), '([A-Z]+#?[0-9]+)', 1), '') as code from part""",
     "g21_json_span": "select case when event_id % 4 <> 0 then event_type end as kind, count(*) as n from events group by 1",
     "g23_formats": """select p_partkey, substr(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 1, 60) as safe, '"' || replace(p_type, '"', '""') || '"' as cell,
         case when p_size < 10 then p_size || ' B' else (p_size // 10) || ' dB' end as size from part""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import courses
 from pagemill.functions import targets as T
 from pagemill.functions import text as X
 from pagemill.functions import urls
@@ -56,7 +57,26 @@ def c18_main_page(spark, sf_dir):
     return rows.select("host", "main_page", T.main_page_rank(F.col("main_page")).cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (c9_validate_target, p16_ordered_reasons, c18_main_page)}
+#: Addresses and titles of courses, dealt to pages by their number; the title None is the page's own.
+COURSES = (
+    "/courses/bsc-nursing-and-midwifery", "/course/MGM102/2/2026", "/courses/master-teaching-primary.html", "/courses", "/courses/undefined/4408HO01", "/ug/yacht-beng/2026",
+    "/course/course-changes/application-for-intermission.html", "/courses/marine_biology/entry-requirements", "/en/study/abroad", "/course/245ja.pdf", "/programs/12/345",
+)
+TITLES = (
+    "Nursing 2026 entry | Some University", "Bachelor of Teaching - Site", "", "Page not found", "Master of Arts online study", "AB", "MBA full-time | x",
+)
+
+
+def g4_course_names(spark, sf_dir):
+    """Whether each address is one course's page, its name by the address, and by title and address together."""
+    n, pick = F.col("page_id"), lambda found: F.element_at(F.array(*map(F.lit, found)), (F.col("page_id") % len(found)).cast("int") + 1)
+    own = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), pick(COURSES))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(n, own.alias("url"), F.when(n % 8 != 7, pick(TITLES)).otherwise(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"))
+    u = F.col("url")
+    return rows.select("page_id", courses.is_real_course(u).alias("is_course"), courses.name_from_url(u).alias("by_address"), courses.award_group(F.lower(u)).alias("award"), courses.course_name(F.col("title"), u).alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (c9_validate_target, p16_ordered_reasons, c18_main_page, g4_course_names)}
 
 
 def _words(col: str, words: tuple[str, ...]) -> str:
@@ -88,6 +108,27 @@ _FUNDING = f"""case when class in ('COURSE_PAGE', 'COURSE_LISTING', 'ELIGIBILITY
     when class = 'SCHOLARSHIP_PAGE' then ['DISCOVERY_ONLY', 'too little about funding', '0.3'] when class = 'FUNDING_PAGE' then ['DISCOVERY_ONLY', 'scholarship listing', '0.3']
     when class = 'NAVIGATION_PAGE' then ['DISCOVERY_ONLY', 'navigation page', '0.3'] else ['REJECTED', 'irrelevant', '0'] end"""
 _RANK = "case " + " ".join(f"when {_like('lower(url)', p)} then {len(T.MAIN_PAGES) - i}" for i, p in enumerate(T.MAIN_PAGES)) + " else 0 end"
+
+
+def _course_sql() -> str:
+    short = " ".join(f"when '{k}' then '{v}'" for k, v in courses.SHORT.items())
+    word = f"""case when lower(w) in ({S.quoted(courses.SHORT)}) then case lower(w) {short} end when i > 1 and lower(w) in ({S.quoted(courses.JOINING)}) then lower(w) when length(w) <= 3 then upper(w)
+        else upper(w[1:1]) || lower(w[2:]) end"""
+    code = f"({_like('s', courses.CODE)} and not regexp_matches(s, '^20[0-9][0-9]$'))"
+    award = lambda c: "case " + " ".join(f"when {_like(c, p)} then '{g}'" for p, g in courses.AWARDS) + " end"
+    return rf"""with p as (select page_id, {S.SCHEME} || '://' || {S.HOST} || {_pick(COURSES)} as url, {_pick(COURSES)} as path,
+        trim(case when page_id % 8 <> 7 then {_pick(TITLES)} else regexp_extract(html, '(?is)<title>(.*?)</title>', 1) end) as title from pages),
+        t as (select *, list_filter(list_transform(list_filter(string_split(lower(path), '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '\.(html?|php|aspx|pdf)$', '')),
+            lambda s: s not in ({S.quoted(courses.GENERIC)}) and not regexp_matches(s, '^[0-9]+$') and (regexp_matches(s, '[a-z][a-z][a-z]') or {code})) as found from p),
+        q as (select *, coalesce(list_filter(found, lambda s: {_like('s', courses.DEGREE)})[1], list_max(list_transform(case when len(list_filter(found, lambda s: not {code})) > 0
+            then list_filter(found, lambda s: not {code}) else found end, lambda s, i: {{'n': length(s), 'i': -i, 's': s}})).s) as s from t),
+        r as (select *, coalesce(case when {code} then upper(s) else array_to_string(list_transform(list_filter(string_split(regexp_replace(s, '[-_]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w, i: {word}), ' ') end, '') as by_address,
+            trim(regexp_replace(regexp_replace(split_part(split_part(title, '|', 1), ' - ', 1), '\s+20\d\d\b.*$', ''), '(?i)\s+(full[-\s]?time|part[-\s]?time|distance learning|online)\b.*$', '')) as clean from q)
+        select page_id, not ({_like('lower(url)', courses.BROKEN)} or {_like('lower(url)', courses.NO_COURSE)} or {_like('lower(url)', courses.PROCESS)} or {_like('lower(url)', courses.LISTING)}) and len(found) > 0 as is_course,
+        by_address, {award('lower(url)')} as award, case when title <> '' and not {_like('title', courses.SAYS_NOTHING)} and length(clean) >= 3
+            and not (by_address <> '' and coalesce({award('lower(url)')} <> {award('clean')}, false)) then clean else by_address end as name from r"""
+
+
 SQL = {
     "c9_validate_target": f"""with p as (select *, {_words("text", T.RESIDENTS)} as residents, {_like("title", T.AWARD)} or {_like("substr(text, 1, 600)", T.AWARD)} as award, {_like("text", T.STRUCTURE)}::int as structure,
         ({_like("text", T.DETAIL)} or facts >= 1)::int as detail, {_words("text", T.EVIDENCE)} as evidence, {_NO} as no_record, {_COUNT} as hits, {_like("text", T.SUBSTANCE)} as substance,
@@ -98,4 +139,5 @@ SQL = {
         from (select *, {_NO} as reason, {_like("text", T.SUBSTANCE)} as substance from {_PAGES})""",
     "c18_main_page": f"""select host, main_page, rank from (select host, url as main_page, {_RANK} as rank, row_number() over (partition by host order by anchor desc, {_RANK} desc, length(url), url) as n from {_PAGES})
         where n = 1""",
+    "g4_course_names": _course_sql(),
 }

@@ -55,3 +55,18 @@ def test_main_pages(spark):
     rows = [("a", "https://a.org/international/entry-requirements", False), ("a", "https://a.org/admissions", True), ("a", "https://a.org/entry-requirements/x", True), ("a", "https://a.org/entry-requirements", True), ("b", "https://b.org/", None), ("b", None, True)]
     got = {r["g"]: r["main_page"] for r in T.main_pages(spark.createDataFrame(rows, "g string, u string, w boolean"), "g", "u", "w").collect()}
     assert got == {"a": "https://a.org/entry-requirements", "b": "https://b.org/"}
+
+
+def test_course_names(spark):
+    from pagemill.functions import courses as C
+
+    rows = [
+        ("https://a.edu/courses/bsc-nursing-of-a-kind.html", None, True, "BSc Nursing of a Kind", "BSc Nursing of a Kind"), ("https://a.edu/course/723AA/6/2024.pdf", "x", True, "723AA", "723AA"),
+        ("https://a.edu/course/2024/1", "Physics", False, "", "Physics"), ("https://a.edu/courses/master-physics", "Bachelor of Physics | a", True, "Master Physics", "Master Physics"),
+        ("https://a.edu/courses/master-physics", "Physics (MSc) 2025/26 - a", True, "Master Physics", "Physics (MSc)"), ("https://a.edu/programs/", "Programmes", False, "", ""),
+        ("https://a.edu/courses/art?x=1", "Art", False, "ART", "Art"), ("https://a.edu/courses/yacht-design/admission-requirements", "Admission requirements for all", True, "Yacht Design", "Yacht Design"),
+        ("https://a.edu/courses/withdrawal-form", "", False, "Withdrawal Form", "Withdrawal Form"), (None, None, False, "", ""),
+    ]
+    df = spark.createDataFrame(rows, "url string, title string, real boolean, by_url string, name string")
+    for r in df.select("*", C.is_real_course(F.col("url")).alias("a"), C.name_from_url(F.col("url")).alias("b"), C.course_name(F.col("title"), F.col("url")).alias("c")).collect():
+        assert (r["a"], r["b"], r["c"]) == (r["real"], r["by_url"], r["name"]), r["url"]
