@@ -116,19 +116,20 @@ PLAIN_WORDS = ("the", "of", "university", "and")
 
 
 def j17_name_match(spark, sf_dir):
-    """Names match where their distinctive words are the same set, or, where one has a single such word, if the other has it.
+    """Names match where their distinctive words are the same set, or, where one has a single such word, if the other has it.
 
-    Sets of two words or more meet on the whole set, single words on the word.
+    Names of the same words are one name with a count; sets of two words or more meet on the whole set, single words on the word.
     """
     distinctive = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*PLAIN_WORDS))))
     n, s, c = (_t(spark, sf_dir, x) for x in ("nation", "supplier", "customer"))
     k, code = F.col("s_suppkey") % 3, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     named = F.when(k == 0, F.concat(F.lit("The University of "), code)).when(k == 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(" and "), code)).otherwise(F.concat(code, F.lit(" r9")))
-    a = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", distinctive(named).alias("x"))
-    b = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 5 = 0").select("c_custkey", distinctive(F.concat(F.lit("University of N"), F.col("c_nationkey").cast("string"), F.lit(", R"), F.col("n_regionkey").cast("string"))).alias("y"))
-    same = a.filter(F.size("x") > 1).join(b.filter(F.size("y") > 1), F.col("x") == F.col("y")).select("s_suppkey", "c_custkey")
-    part = a.filter(F.size("x") == 1).select("s_suppkey", F.col("x")[0].alias("word")).join(b.select("c_custkey", F.explode("y").alias("word")), "word").select("s_suppkey", "c_custkey")
-    return same.unionByName(part)
+    a = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(distinctive(named).alias("x")).agg(F.count("*").alias("suppliers"))
+    own = F.concat(F.lit("University of N"), F.col("c_nationkey").cast("string"), F.lit(", R"), F.col("n_regionkey").cast("string"))
+    b = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(distinctive(own).alias("y")).agg(F.count("*").alias("customers"))
+    same = a.filter(F.size("x") > 1).join(b.filter(F.size("y") > 1), F.col("x") == F.col("y")).select("x", "y", "suppliers", "customers")
+    part = a.filter(F.size("x") == 1).withColumn("word", F.col("x")[0]).join(b.withColumn("word", F.explode("y")), "word").select("x", "y", "suppliers", "customers")
+    return same.unionByName(part).select(F.array_join("x", " ").alias("supplier_name"), F.array_join("y", " ").alias("customer_name"), "suppliers", "customers")
 
 
 def j19_frontier_anti(spark, sf_dir):

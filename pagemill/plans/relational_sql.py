@@ -39,8 +39,10 @@ SQL = {
         from (select distinct {S.REGISTRABLE} as domain, coalesce({S.SEGMENTS}[1], '') as branch from pages) s
         join (select {S.REGISTRABLE} as domain, {S.PATH} as path from pages) p on s.domain = p.domain
         and (p.path = '/' || s.branch or starts_with(p.path, '/' || s.branch || '/')) group by 1, 2""",
-    "j17_name_match": """select s_suppkey, c_custkey from supplier join nation n on s_nationkey = n.n_nationkey join customer on c_custkey % 5 = 0 join nation m on c_nationkey = m.n_nationkey
-        where (s_suppkey % 3 = 0 and s_nationkey = c_nationkey) or (s_suppkey % 3 = 1 and s_nationkey = c_nationkey and n.n_regionkey = m.n_regionkey)""",
+    "j17_name_match": """with a as (select s_nationkey as k, case when s_suppkey % 3 = 0 then 'n' || s_nationkey else 'n' || s_nationkey || ' r' || n_regionkey end as x, count(*) as suppliers
+        from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 < 2 group by 1, 2),
+        b as (select c_nationkey as k, 'n' || c_nationkey || ' r' || n_regionkey as y, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1, 2)
+        select x as supplier_name, y as customer_name, suppliers, customers from a join b using (k)""",
     "j19_frontier_anti": f"""with p as (select page_id, url, {S.CANONICAL} as canonical from pages),
         done as (select url as alias from p where page_id % 3 = 0 union select canonical from p where page_id % 3 = 0)
         select page_id, canonical from p where not exists (select 1 from done where alias in (p.url, p.canonical))""",
