@@ -112,15 +112,6 @@ def p18_fallback_status(spark, sf_dir):
     return o.groupBy(works.alias("works")).agg(F.count("*").alias("n"))
 
 
-def x5_admission(spark, sf_dir):
-    """The step at which each link is turned away, or that it is queued."""
-    u = F.col("url")
-    rows = _t(spark, sf_dir, "pages").select("page_id", "url", F.sha2(urls.canonical(u), 256).alias("h"))
-    seen = F.row_number().over(Window.partitionBy("h").orderBy("page_id")) > 1
-    step = F.when(seen, "duplicate").when(urls.depth(u) > 2, "too_deep").when(~urls.branch(u).isin("en", "fr"), "out_of_scope").otherwise("queued")
-    return rows.select("page_id", step.alias("step"))
-
-
 def g21_json_span(spark, sf_dir):
     """The braces within fenced answers, read with a schema; what isn't a record gives nothing."""
     raw = F.concat(F.lit("Here you are:\n```json\n"), F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct("event_id", "event_type"))).otherwise(F.lit("{broken")), F.lit("\n```"))
@@ -208,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         w1_append_sequence, a17_attribution, a18_cube, a21_compare, a24_last_run, j12_named_lookup, j21_skip_stopped, j24_host_probe, j26_fallback_rows,
-        k16_cascade, k17_align_feed, p8_pattern_filter, p18_fallback_status, x5_admission, g21_json_span, g23_formats,
+        k16_cascade, k17_align_feed, p8_pattern_filter, p18_fallback_status, g21_json_span, g23_formats,
         d1_dates, d4_arrays, c21_decision_table, x8_branch_gate, x15_first_success, x20_stalls, x1_dead_letters, u6_token_sets,
     )
 }
@@ -236,8 +227,6 @@ SQL = {
     "p8_pattern_filter": "select page_id from pages where regexp_matches(lower(url), '/(en|fr)/[0-9]*[05]([^0-9]|$)')",
     "p18_fallback_status": """select case when o_orderkey % 3 <> 0 then (o_orderkey % 5 + 1) * 100 between 200 and 399 else o_orderstatus in ('F', 'P') end as works,
         count(*) as n from orders group by 1""",
-    "x5_admission": f"""select page_id, case when rn > 1 then 'duplicate' when {S.DEPTH} > 2 then 'too_deep' when coalesce({S.SEGMENTS}[1], '') not in ('en', 'fr') then 'out_of_scope'
-        else 'queued' end as step from (select *, row_number() over (partition by {S.CANONICAL} order by page_id) as rn from pages)""",
     "g21_json_span": "select case when event_id % 4 <> 0 then event_type end as kind, count(*) as n from events group by 1",
     "g23_formats": """select p_partkey, substr(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), 1, 60) as safe, '"' || replace(p_type, '"', '""') || '"' as cell,
         case when p_size < 10 then p_size || ' B' else (p_size // 10) || ' dB' end as size from part""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import courses
+from pagemill.functions import admission, courses
 from pagemill.functions import targets as T
 from pagemill.functions import text as X
 from pagemill.functions import urls
@@ -76,7 +76,46 @@ def g4_course_names(spark, sf_dir):
     return rows.select("page_id", courses.is_real_course(u).alias("is_course"), courses.name_from_url(u).alias("by_address"), courses.award_group(F.lower(u)).alias("award"), courses.course_name(F.col("title"), u).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (c9_validate_target, p16_ordered_reasons, c18_main_page, g4_course_names)}
+def f21_candidate_urls(spark, sf_dir):
+    """where the requirements of each page may stand, all candidates in order; half of the pages end in .html."""
+    own = F.concat(F.regexp_replace("url", r"(\.html)?([?#].*)?$", ""), F.when(F.col("page_id") % 2 == 0, ".html").otherwise("/"), F.lit("?x=1"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(admission.requirement_candidates(own)).alias("position", "candidate"))
+    return rows.withColumn("position", F.col("position").cast("long"))
+
+
+#: Relative links of all kinds, put on each page beside its own.
+LINKS = ("../up", "?q=1", "//other.org/p", "x/./y", "#here", "mailto:a@b.org", "/root//a/../b")
+
+
+def f6_resolved_links(spark, sf_dir):
+    """The links of each page, resolved against it; links to no page are left out."""
+    hrefs = F.concat(F.expr("regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"), F.array(*map(F.lit, LINKS)))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.explode(F.array_distinct(hrefs)).alias("href"))
+    return rows.select("page_id", "href", urls.resolve(F.col("href"), F.col("url")).alias("link")).filter("link is not null")
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """Pages as links: class, disposition, depth and permission by their numbers; some addresses stand twice, some have years."""
+    n = F.col("page_id")
+    url = F.when(n % 6 == 5, F.concat(F.lit("https://same.org/courses/"), (n % 4).cast("string"))).when(n % 3 == 0, F.concat(F.regexp_replace("url", "/[^/]*$", ""), F.lit("/"), (F.lit(2015) + n % 7).cast("string"), F.lit("/about"))).otherwise(F.col("url"))
+    return _pages(spark, sf_dir).select("page_id", "class").join(
+        spark.read.parquet(f"{sf_dir}/pages.parquet").select(n, url.alias("url"), F.when(n % 10 == 0, "EXTRACT").otherwise("SKIP").alias("disposition"), (n % 4).alias("depth"), (n % 11 != 3).alias("allowed")), "page_id"
+    )
+
+
+def x5_admission(spark, sf_dir):
+    """The step at which each link is turned away, or that it is queued."""
+    return admission.admitted_links(_links(spark, sf_dir))
+
+
+def c21_fast_fetch(spark, sf_dir):
+    """Whether a plain fetch of each page does, by a status and a challenge dealt by its number and its text's length."""
+    n = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 404, 301, 503, 200))), (n % 6).cast("int") + 1)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", admission.fast_enough(n % 13 != 0, status, n % 17 == 1, F.length(X.html_text(F.col("html")))).alias("slow_because"))
+
+
+QUERIES = {f.__name__: f for f in (c9_validate_target, p16_ordered_reasons, c18_main_page, g4_course_names, f21_candidate_urls, f6_resolved_links, x5_admission, c21_fast_fetch)}
 
 
 def _words(col: str, words: tuple[str, ...]) -> str:
@@ -140,4 +179,19 @@ SQL = {
     "c18_main_page": f"""select host, main_page, rank from (select host, url as main_page, {_RANK} as rank, row_number() over (partition by host order by anchor desc, {_RANK} desc, length(url), url) as n from {_PAGES})
         where n = 1""",
     "g4_course_names": _course_sql(),
+    "f21_candidate_urls": f"""select page_id, (row_number() over (partition by page_id order by k, form) - 1)::bigint as position, candidate from (select page_id, k, form, case form when 0 then stem || '/' || seg || '.html' when 1 then stem || '/' || seg
+        else stem || '/' || seg || '/' end as candidate from (select page_id, regexp_replace(url, '(\\.html)?([?#].*)?$', '') as stem0 from pages) p, lateral (select rtrim(stem0, '/') as stem),
+        (select unnest([{S.quoted(admission.SEGMENTS)}]) as seg, unnest(range({len(admission.SEGMENTS)})) as k), (values (0), (1), (2)) f(form) where form > 0 or page_id % 2 = 0)""",
+    "f6_resolved_links": f"""with p as (select page_id, html, {S.SCHEME} as scheme, {S.SCHEME} || '://' || {S.HOST} as origin, {S.PATH} as path from pages),
+        d as (select *, regexp_replace(path, '[^/]*$', '') as directory from p),
+        h as (select page_id, origin, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) as href from d)
+        select page_id, href, origin || href as link from h where starts_with(href, '/') union
+        select page_id, unnest(['../up', '?q=1', '//other.org/p', 'x/./y', '/root//a/../b']), unnest([origin || case when directory = '/' then '/' else regexp_replace(directory, '[^/]+/$', '') end || 'up', origin || path || '?q=1',
+        scheme || '://other.org/p', origin || directory || 'x/y', origin || '/root//b']) from d""",
+    "x5_admission": f"""with l as (select page_id, case when page_id % 6 = 5 then 'https://same.org/courses/' || (page_id % 4) when page_id % 3 = 0 then regexp_replace(url, '/[^/]*$', '') || '/' || (2015 + page_id % 7) || '/about'
+        else url end as url, {_pick(CLASSES)} as class from pages), p as (select *, {S.CANONICAL} as canonical, {S.HOST} as host, {S.PATH} as path from l),
+        y as (select *, nullif(regexp_extract(path, '/(20[0-3][0-9]|199[0-9])(/|$)', 1), '')::int as year, host || lower(regexp_replace(path, '/(20[0-3][0-9]|199[0-9])(/|$)', '/~year~\\2')) as family from p)
+        select page_id, case when page_id <> min(page_id) over (partition by canonical) then 'duplicate' when year < max(year) over (partition by family) then 'older_edition' when page_id % 11 = 3 then 'class'
+        when page_id % 10 <> 0 and class not in ({S.quoted(admission.TARGETS)}) and page_id % 4 > 1 and not {_like("path", admission.HUBS)} then 'out_of_scope' else 'queued' end as step from y""",
+    "c21_fast_fetch": f"""select page_id, case when page_id % 13 = 0 then 'network' when page_id % 17 = 1 then 'challenge' when page_id % 6 in (1, 4) then 'blocked' when page_id % 6 <> 2 and length({_HTML}) < 400 then 'thin' end as slow_because from pages""",
 }

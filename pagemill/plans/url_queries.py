@@ -74,29 +74,10 @@ def f18_branch_yield_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def f21_candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the ordered places where a page's requirements may stand."""
-    base = F.regexp_replace(urls.canonical(F.col("url")), r"\?.*$", "")
-    tails = ["", "/entry-requirements", "/requirements", "/admissions", "/how-to-apply", "#entry-requirements"]
-    rows = _pages(spark, sf_dir).select("page_id", F.posexplode(F.array(*[F.concat(base, F.lit(t)) for t in tails])).alias("position", "candidate"))
-    return rows.withColumn("position", F.col("position").cast("long"))
-
-
-def f6_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links of each page, resolved against it (root-relative and absolute ones)."""
-    found = F.explode(F.array_distinct(F.expr("regexp_extract_all(html, '<a href=\"([^\"#][^\"]*)\"', 1)"))).alias("href")
-    rows = _pages(spark, sf_dir).select("page_id", "url", found)
-    origin = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")))
-    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat(origin, F.col("href")))
-    return rows.select("page_id", full.alias("link")).filter("link is not null").groupBy("page_id").agg(F.count_distinct("link").alias("n_links"), F.min("link").alias("first_link"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        f1_canonical_url, f2_strip_tracking, f4_url_kinds, f7_registrable_domain, f10_country, f13_course_key, f18_branch_yield_counts, f21_candidate_urls,
-        f6_resolved_links,
-    )
+        f1_canonical_url, f2_strip_tracking, f4_url_kinds, f7_registrable_domain, f10_country, f13_course_key, f18_branch_yield_counts,             )
 }
 
 _DATED = f"(regexp_replace(url, '[?#].*$', '') || '/' || cast(2020 + page_id % 5 as varchar))"
@@ -121,11 +102,4 @@ SQL = {
         from (select page_id, {S.HOST} as host, list_append({S.SEGMENTS.replace(S.PATH, "regexp_replace(" + S.PATH + ", '[?#].*$', '')")}, cast(2020 + page_id % 5 as varchar)) as segs from pages)""",
     "f18_branch_yield_counts": f"""select coalesce({S.SEGMENTS}[1], '') as branch, count(*) as pages,
         count(*) filter (where contains(lower(html), '<article>')) as targets, count(distinct {S.HOST}) as hosts from pages group by 1""",
-    "f21_candidate_urls": f"""select page_id, t.position, base || t.tail as candidate
-        from (select page_id, regexp_replace({S.CANONICAL}, '\\?.*$', '') as base from pages),
-        (values (0, ''), (1, '/entry-requirements'), (2, '/requirements'), (3, '/admissions'), (4, '/how-to-apply'), (5, '#entry-requirements')) t(position, tail)""",
-    "f6_resolved_links": f"""select page_id, count(distinct link) as n_links, min(link) as first_link from (
-        select page_id, case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then origin || href end as link from (
-        select page_id, {S.SCHEME} || '://' || {S.HOST} as origin, unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) as href from pages))
-        where link is not null group by page_id""",
 }

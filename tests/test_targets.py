@@ -70,3 +70,30 @@ def test_course_names(spark):
     df = spark.createDataFrame(rows, "url string, title string, real boolean, by_url string, name string")
     for r in df.select("*", C.is_real_course(F.col("url")).alias("a"), C.name_from_url(F.col("url")).alias("b"), C.course_name(F.col("title"), F.col("url")).alias("c")).collect():
         assert (r["a"], r["b"], r["c"]) == (r["real"], r["by_url"], r["name"]), r["url"]
+
+
+def test_links_are_admitted_step_by_step(spark):
+    from pagemill.functions import admission as A
+
+    rows = [
+        (1, "https://a.edu/courses/x", "COURSE_PAGE", "SKIP", 5, True), (2, "https://A.edu/courses/x/#y", "COURSE_PAGE", "SKIP", 5, True), (3, "https://a.edu/2023/z", "UNKNOWN", "EXTRACT", 5, True),
+        (4, "https://a.edu/2024/z", "UNKNOWN", "EXTRACT", 5, True), (5, "https://a.edu/about", "UNKNOWN", "SKIP", 2, True), (6, "https://a.edu/about2", "UNKNOWN", "SKIP", 1, True), (7, "https://a.edu/faculty/of/arts", None, None, None, True),
+        (8, "https://a.edu/courses/y", "COURSE_PAGE", "EXTRACT", 1, False), (9, "nonsense", "UNKNOWN", "SKIP", 9, True), (10, None, None, None, None, True),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, class string, disposition string, depth int, allowed boolean")
+    got = {r["page_id"]: r["step"] for r in A.admitted_links(df).collect()}
+    assert [got[i] for i in range(1, 11)] == ["queued", "duplicate", "older_edition", "queued", "out_of_scope", "queued", "queued", "class", "out_of_scope", "out_of_scope"]
+    everything = {r["page_id"]: r["step"] for r in A.admitted_links(df, by_catalogue=False).collect()}
+    assert everything[5] == everything[9] == "queued"
+
+
+def test_fetches_and_candidates(spark):
+    from pagemill.functions import admission as A
+
+    rows = [(False, 200, False, 900, "network"), (None, 200, False, 900, "network"), (True, 503, True, 900, "challenge"), (True, 429, False, 0, "blocked"), (True, 404, False, 0, None), (True, 200, None, 399, "thin"), (True, 301, False, 400, None)]
+    df = spark.createDataFrame(rows, "r boolean, s int, c boolean, n int, want string")
+    assert all(r[0] == r[1] for r in df.select("want", A.fast_enough(F.col("r"), F.col("s"), F.col("c"), F.col("n"))).collect())
+    found = spark.createDataFrame([("https://a.org/p/AIG.html?x#y",), ("https://a.org/p/AIG/",)], "u string").select(A.requirement_candidates(F.col("u"))).collect()
+    assert [len(r[0]) for r in found] == [39, 26] and found[0][0][:3] == [f"https://a.org/p/AIG/admission-requirements{x}" for x in (".html", "", "/")]
+    live = spark.createDataFrame([(200, "https://a.org/entry"), (200, "https://a.org/"), (404, "https://a.org/entry"), (None, None)], "s int, u string")
+    assert [r[0] for r in live.select(A.still_there(F.col("s"), F.col("u"))).collect()] == [True, False, False, False]
