@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import evidence_queries, export_queries, linkage_queries, more_queries, relational_queries, relational_sql, source_queries, state_queries, target_queries, text_queries, url_queries
+from pagemill.plans import coverage_queries, evidence_queries, export_queries, linkage_queries, more_queries, relational_queries, relational_sql, source_queries, state_queries, target_queries, text_queries, url_queries
 
 FLAGSHIP = "f1_canonical_url"
 FAMILIES = (
@@ -20,6 +20,7 @@ FAMILIES = (
     (evidence_queries.QUERIES, evidence_queries.SQL),
     (state_queries.QUERIES, state_queries.SQL),
     (target_queries.QUERIES, target_queries.SQL),
+    (coverage_queries.QUERIES, coverage_queries.SQL),
 )
 
 
