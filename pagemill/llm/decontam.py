@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import lean
+
 #: Edits per character of an item, the characters of items that one pass over the documents looks for, and of the shortest item.
 #: An automaton of a million characters takes about 60 MB of a task and under a second to build.
 RATE, BLOCK_CHARS, LEAST = 0.08, 1_000_000, 20
@@ -134,7 +136,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
     out = None
     source = docs.select(F.col("doc_id").cast("long"), "text")
     for chosen in _blocks(items, block_chars):
-        found = source.mapInArrow(_searcher(chosen, rate), schema)
+        found = source.mapInArrow(lean(_searcher(chosen, rate)), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -168,5 +170,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
         return run
 
     for chosen in _blocks(items, block_chars):
-        docs = docs.mapInArrow(keeper(chosen), docs.schema)
+        docs = docs.mapInArrow(lean(keeper(chosen)), docs.schema)
     return docs

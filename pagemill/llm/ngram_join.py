@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import shuffle_width, staged
+from pagemill.llm.common import lean, shuffle_width, staged
 from pagemill.llm.components import components
 
 #: Words of a shingle; the least Jaccard similarity as a fraction; bits of the table of counts; shingles of a tile; sets that all tiles of a block get.
@@ -166,7 +166,7 @@ def rarity_table(docs: DataFrame, k: int = WORDS, bits: int = TABLE_BITS) -> np.
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = np.zeros(1 << bits)
     for r in counted.toLocalIterator():
         found[r["slot"]] = r["n"]
@@ -195,7 +195,7 @@ def digests(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 h, bounds = shingle_sets(_plain(part.column(1)), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *map(pa.array, _digest(h, bounds))], names=["doc_id", "n", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long")
 
 
 def _digest(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -231,7 +231,7 @@ def described(docs: DataFrame, levels: np.ndarray, k: int = WORDS, num: int = NU
             if batch.num_rows:
                 yield from map(describe, _sliced(batch, 1))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, least long, sketch binary, cold array<long>, hot array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long, least long, sketch binary, cold array<long>, hot array<long>")
 
 
 def _leaders(num: int, den: int):
@@ -466,10 +466,10 @@ def _met(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int,
     """Links (a, b) in each block of rows (leader, tile, rep, root, outside). Pairs of one root, or both not outside, may be left out."""
     width = shuffle_width(docs.sparkSession)
     rows = rows.join(classes.select("rep", "n", "least", "sketch"), "rep").repartition(width, "leader", "tile").sortWithinPartitions("leader", "tile", "least", "n")
-    sent = rows.select("leader", "tile", "rep", "n", "sketch", "root", "outside").mapInArrow(_send(num, den), "leader long, tile int, doc_id long, root long")
+    sent = rows.select("leader", "tile", "rep", "n", "sketch", "root", "outside").mapInArrow(lean(_send(num, den)), "leader long, tile int, doc_id long, root long")
     texts = sent.join(docs, "doc_id").select("leader", "tile", "doc_id", "root", "text")
     texts = texts.repartition(width, "leader", "tile").sortWithinPartitions("leader", "tile", "doc_id")
-    return texts.mapInArrow(_block_links(k, num, den), "a long, b long")
+    return texts.mapInArrow(lean(_block_links(k, num, den)), "a long, b long")
 
 
 def _large_blocks(tiled: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -503,7 +503,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     classes = described(docs, levels, k, num, den).filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *same).filter("rep is not null")
     classes = staged(classes, "classes")
     cold = classes.select(F.posexplode("cold").alias("place", "h"), "rep", "n").select("h", "rep", "n", F.col("place").cast("long")).repartition(width, "h")
-    pairs = cold.mapInArrow(_leaders(num, den), "rep long, leader long, n long")
+    pairs = cold.mapInArrow(lean(_leaders(num, den)), "rep long, leader long, n long")
     # Common elements: sizes in steps of num / den, each set with its step and the next, so sets that may link meet in one.
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) - 1e-9)
     hot = classes.select(F.posexplode("hot").alias("p", "h"), "rep", "n", F.size("cold").alias("ahead"), step.alias("b"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import shuffle_width, staged, with_rank
+from pagemill.llm.common import lean, shuffle_width, staged, with_rank
 
 CAPACITY, END_ID = 1024, 2
 
@@ -80,7 +80,7 @@ def token_pieces(
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 class _Counts:

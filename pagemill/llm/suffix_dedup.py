@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import shuffle_width
+from pagemill.llm.common import lean, shuffle_width
 
 #: Bytes of a repeated string, of a k-gram, of the text that one suffix array is built over, and of a part of a leader.
 LENGTH, GRAM, SLICE, PART = 50, 24, 500_000, 1_024
@@ -298,7 +298,7 @@ def frequent_grams(texts: DataFrame, length: int, k: int) -> tuple[Frequent, int
 
     They only say how the work is dealt; whatever they are, the same bytes are found.
     """
-    counted = texts.mapInArrow(_count_grams(length, k, max(2, COMMON // 512)), "gram long, n long, doc long, place long, total long")
+    counted = texts.mapInArrow(lean(_count_grams(length, k, max(2, COMMON // 512))), "gram long, n long, doc long, place long, total long")
     total = F.coalesce(F.sum("total"), F.lit(0)).alias("total")
     grams = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "place")).alias("first"), total)
     # At most FREQUENT rows pass: their counts make up all grams at most.
@@ -544,13 +544,13 @@ def _round(texts: DataFrame, gone: DataFrame | None, total: int, frequent: Frequ
     buckets = width * (1 + total // (width * BUCKET))
     mins = marked.select("doc_id", "key", F.col("row.text").alias("text"), "gone") if last else marked.select("doc_id", "key", "row", "gone")
     find = _find_minimisers(buckets, length, k, frequent, last)
-    mins = mins.mapInArrow(find if last else _of_rows(find), "bucket int, " + ", ".join(f"{n} binary" for n, _ in names))
-    shared = mins.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_share(frequent, last), ", ".join(f"{c} long" for c in keys) + ", place int, block long")
+    mins = mins.mapInArrow(lean(find if last else _of_rows(find)), "bucket int, " + ", ".join(f"{n} binary" for n, _ in names))
+    shared = mins.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_share(frequent, last)), ", ".join(f"{c} long" for c in keys) + ", place int, block long")
     shared = shared.groupBy(*keys).agg(F.collect_list(F.struct("place", "block")).alias("at"))
     met = texts.join(shared, keys, "left").select("doc_id", *refer, "row", "at")
-    regions = met.mapInArrow(_cut_regions(length, k), "block long, doc_id long, h long, start long, bytes binary")
+    regions = met.mapInArrow(lean(_cut_regions(length, k)), "block long, doc_id long, h long, start long, bytes binary")
     regions = regions.repartition(width, "block").sortWithinPartitions("block")
-    return regions.mapInArrow(_find_spans(length, SLICE, last), FOUND)
+    return regions.mapInArrow(lean(_find_spans(length, SLICE, last)), FOUND)
 
 
 def _of_rows(find):
@@ -585,9 +585,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(doc, key, F.struct(*docs.columns).alias("row")).repartition(width, "doc_id")
     found = _round(texts, gone, total, frequent, length, GRAM, [F.col("key").alias("h"), F.lit(0).cast("long").alias("base")])
     found = found.repartition(width, "doc_id")
-    rest = found.mapInArrow(_pick(True), FOUND).select("doc_id", F.xxhash64("doc_id", "h", "start", "end").alias("key"), F.struct(F.col("bytes").alias("text")).alias("row"), "h", "start")
+    rest = found.mapInArrow(lean(_pick(True)), FOUND).select("doc_id", F.xxhash64("doc_id", "h", "start", "end").alias("key"), F.struct(F.col("bytes").alias("text")).alias("row"), "h", "start")
     more = _round(rest, None, total // 4, NOTHING, length, SECOND, [F.col("h"), F.col("start").alias("base")])
-    spans = found.mapInArrow(_pick(False), FOUND).unionByName(more)
+    spans = found.mapInArrow(lean(_pick(False)), FOUND).unionByName(more)
     whole = spans.select("doc_id", "h", "start", "end").unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("spans"))
     return texts.join(whole, "doc_id", "left").select("doc_id", "key", "row", "spans").unionByName(unnamed)
 
@@ -613,7 +613,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = repeated_spans(docs.select("doc_id", "text"), length)
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -636,4 +636,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, row.field(c).type) if c == "text" else pa.array(chars, row.field(c).type) if c == "n_chars" else row.field(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return repeated_spans(docs, length).mapInArrow(run, docs.schema)
+    return repeated_spans(docs, length).mapInArrow(lean(run), docs.schema)

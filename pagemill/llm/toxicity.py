@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import lean
+
 from pagemill.llm.learning import labelled_texts, remainder, training_ids
 
 #: Rows that train at most; lengths of word beginnings; the evidence and the log odds that an entry of the lexicon needs.
@@ -219,7 +221,7 @@ def learn(train: DataFrame) -> Grammar:
     if not n0 or not n1:
         base = (n1 + 0.5) / (n0 + n1 + 1)
         return Grammar({}, {}, [0.0] * (len(unmatched()) - 1) + [math.log(base / (1 - base))])
-    terms = train.select("text", "label").mapInArrow(_terms, "term string, stem boolean, n0 long, n1 long")
+    terms = train.select("text", "label").mapInArrow(lean(_terms), "term string, stem boolean, n0 long, n1 long")
     terms = terms.groupBy("term", "stem").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
     whole = F.col("a") + F.col("b")
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (whole * share))).otherwise(0.0)
@@ -234,7 +236,7 @@ def learn(train: DataFrame) -> Grammar:
             x = [grammar.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    rows = train.select("text", "label").mapInArrow(run, "x array<double>, label int").collect()
+    rows = train.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").collect()
     x = np.array([unmatched() if r["x"] is None else [*r["x"], 0.0, 1.0] for r in rows])
     grammar.model = _logistic(x, np.array([r["label"] for r in rows], float)).tolist()
     return grammar
@@ -247,7 +249,7 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grammar.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double")
     return scored.select(
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
@@ -267,4 +269,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
         for batch in batches:
             yield batch.filter(pa.array([grammar.score(t.as_py()) < CUT for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
