@@ -1,7 +1,7 @@
 """The gate of yearly editions as keyed state of a stream: of pages that differ only by a year, a newer edition passes.
 
-The state of a family is the newest year seen. A family that sends nothing for as long as it is to live is forgotten, by a
-timer, so that the state doesn't grow with all families ever seen.
+The state of a family is the newest year seen. A family whose state isn't renewed for as long as it is to live is forgotten,
+so that the state doesn't grow with all families ever seen.
 """
 
 from __future__ import annotations
@@ -42,8 +42,7 @@ class EditionGate(StatefulProcessor):
         self.forget_after_ms = forget_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "year int")
+        self.newest = handle.getValueState("newest", "year int", self.forget_after_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = self.newest.get()[0] if self.newest.exists() else None
@@ -59,17 +58,9 @@ class EditionGate(StatefulProcessor):
                 passed.append((key[0], newest, row.page_id, row.url))
         if newest is not None:
             self.newest.update((newest,))
-        if self.forget_after_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_after_ms)
         if passed:
             yield pd.DataFrame(passed, columns=["family", "year", "page_id", "url"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -80,7 +71,10 @@ def keyed_state(spark: SparkSession) -> None:
 
 
 def admitted_stream(pages: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
-    """The gate over a stream of pages (page_id, url), in the order in which its micro-batches bring them."""
+    """The gate over a stream of pages (page_id, url), in the order in which its micro-batches bring them.
+
+    A stream that forgets goes by the clock, so that it always has another batch to run: give it a trigger by processing time.
+    """
     keyed_state(pages.sparkSession)
     mode = "none" if forget_after_ms is None else "processingTime"
     return editions(pages).groupBy("family").transformWithStateInPandas(EditionGate(forget_after_ms), ADMITTED, "append", mode)
