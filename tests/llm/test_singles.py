@@ -213,7 +213,10 @@ def test_large_hosts_are_dealt_to_parts(spark, monkeypatch):
 
 
 def brute_extract(rows):
-    """Loose windows of two pages go, and main blocks that windows of nine in ten articles cover."""
+    """Loose windows of two pages go, and main blocks that windows of nine in ten articles cover.
+
+    Pages without a main element count as their loose text, and keep it if but one other text has taken all of it.
+    """
     by_host, out = defaultdict(list), {}
     for i, url, page in rows:
         by_host[html_main.host_of(url)].append((i, html_main.blocks(page)))
@@ -227,7 +230,7 @@ def brute_extract(rows):
             loose += [""] * (run - len(loose) if has_main and 0 < len(loose) < run else 0)
             flat.append((main, loose))
             for a in range(len(loose) - run + 1):
-                loose_of[tuple(loose[a : a + run])].add(i)
+                loose_of[tuple(loose[a : a + run])].add(i if has_main else tuple(loose))
             for a in range(len(main) - run + 1):
                 main_of[tuple(main[a : a + run])].add(tuple(main))
         articles = len({tuple(m) for m, _ in flat if m})
@@ -242,6 +245,8 @@ def brute_extract(rows):
                     text += [] if gone[1].issuperset(places) else [x]
                 else:
                     text += [t for t, k in zip(x.split(), places, strict=True) if k not in gone[0]]
+            if not text and not main and all(len(loose_of[tuple(loose[a : a + run])]) <= 2 for a in range(len(loose) - run + 1)):
+                text = loose
             out[i] = " ".join(text)
     return out
 
