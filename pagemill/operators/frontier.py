@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -70,26 +71,28 @@ def expand(
 LOCATION = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
 
-def nested_locations(files: DataFrame, roots: DataFrame, most_files: int = 80, most_locations: int = 20_000, most_levels: int = 50) -> DataFrame:
+def nested_locations(files: DataFrame, roots: DataFrame, most_files: int | None = 80, most_locations: int | None = 20_000, most_levels: int | None = 50) -> DataFrame:
     """site, position, location: the addresses that the map files (file, text) below the roots (site, place, file) list.
 
     A file that is an index leads to more files, any other lists addresses. Files of a site are read first come first served:
     the roots by their place, then what they lead to, each file once, ``most_files`` at most (a file that isn't there counts); the
     first ``most_locations`` different addresses count, in the order in which they are read. Indexes may lead back to each other.
+    None for a limit: there is none.
     """
     spark = files.sparkSession
     path = _place(spark)
     texts = files.groupBy("file").agg(F.max("text").alias("text"))
     order = lambda *by: F.row_number().over(Window.partitionBy("site").orderBy(*by))
+    within = lambda df, c, most: df if most is None else df.filter(F.col(c) <= most)
     first = roots.groupBy("site", "file").agg(F.min("place").alias("place"))
-    queue = first.select("site", "file", order("place", "file").cast("int").alias("turn")).filter(F.col("turn") <= most_files)
+    queue = within(first.select("site", "file", order("place", "file").cast("int").alias("turn")), "turn", most_files)
     read = queue = _kept(queue, f"{path}-0")
-    for level in range(1, most_levels + 1):
+    for level in itertools.count(1) if most_levels is None else range(1, most_levels + 1):
         held = queue.join(texts, "file").filter(F.col("text").rlike("(?i)<sitemapindex"))
         led = held.select("site", "turn", F.posexplode(F.expr("regexp_extract_all(text, '" + LOCATION.replace("\\", "\\\\") + "', 1)")).alias("at", "file"))
         led = led.groupBy("site", "file").agg(F.min(F.struct("turn", "at")).alias("came")).join(read.select("site", "file"), ["site", "file"], "left_anti")
         taken = read.groupBy("site").agg(F.max("turn").alias("taken"))
-        queue = led.join(taken, "site").select("site", "file", (order("came") + F.col("taken")).cast("int").alias("turn")).filter(F.col("turn") <= most_files)
+        queue = within(led.join(taken, "site").select("site", "file", (order("came") + F.col("taken")).cast("int").alias("turn")), "turn", most_files)
         queue = _kept(queue, f"{path}-{level}")
         if queue.isEmpty():
             break
@@ -97,4 +100,4 @@ def nested_locations(files: DataFrame, roots: DataFrame, most_files: int = 80, m
     lists = read.join(texts, "file").filter(~F.col("text").rlike("(?i)<sitemapindex"))
     found = lists.select("site", "turn", F.posexplode(F.expr("regexp_extract_all(text, '" + LOCATION.replace("\\", "\\\\") + "', 1)")).alias("at", "location"))
     once = found.groupBy("site", "location").agg(F.min(F.struct("turn", "at")).alias("came"))
-    return once.select("site", order("came").cast("int").alias("position"), "location").filter(F.col("position") <= most_locations)
+    return within(once.select("site", order("came").cast("int").alias("position"), "location"), "position", most_locations)

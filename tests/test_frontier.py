@@ -4,8 +4,11 @@ import heapq
 import random
 import time
 
+import pandas as pd
 import pytest
+from compare import rows_of_frame, rows_of_sql
 from pagemill.operators import frontier, limits
+from pagemill.plans import catalogue
 from pagemill.streaming import gates
 
 
@@ -101,6 +104,14 @@ def test_nested_maps_equal_a_plain_queue(spark, seed, most_files, most_locations
     assert by_site == {s: plain_locations(files, list(dict.fromkeys(found)), most_files, most_locations) for s, found in roots.items()}
 
 
+def test_closure_lists_all_files_and_addresses(spark, tmp_path):
+    """A site with more lists and more addresses than a reader's usual limits."""
+    rows = [(i, f"https://a.org/b{i % 90}/{i}", "") for i in range(20_030)]
+    pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    got = rows_of_frame(catalogue.queries()["s16_sitemap_closure"](spark, str(tmp_path)))
+    assert len(got[1]) == 20_030 and got == rows_of_sql(catalogue.oracle_sql()["s16_sitemap_closure"], str(tmp_path))
+
+
 def plain_limit(events, gap, most, window):
     out, state = {}, {}
     for k, t, o in sorted(events, key=lambda e: (str(e[0]), e[1], e[2])):
