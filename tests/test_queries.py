@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from compare import rows_of_frame, rows_of_sql
 
@@ -30,3 +31,10 @@ def test_chunks_hold_every_block(spark, sf_dir):
     chunks = catalogue.queries()["d13_chunks"](spark, sf_dir)
     assert chunks.count() >= blocks.select("page_id").distinct().count()
     assert chunks.agg({"length": "max"}).first()[0] <= 6000
+
+
+def test_numbers_like_years_are_no_editions(spark, tmp_path):
+    rows = [(0, "https://a.org/en/2035"), (1, "https://a.org/en/7"), (4, "https://a.org/en/8/"), (9, "https://a.org/2031?x=1"), (12, "https://b.org")]
+    pd.DataFrame([(*r, "") for r in rows], columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    got = rows_of_frame(catalogue.queries()["w8_newest_edition"](spark, str(tmp_path)))
+    assert got == rows_of_sql(catalogue.oracle_sql()["w8_newest_edition"], str(tmp_path)) and ("en", "a.org", "4", "2024") in got[1]
