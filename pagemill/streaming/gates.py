@@ -6,7 +6,7 @@ so that the state doesn't grow with all families ever seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,18 +20,18 @@ YEAR_SEGMENT = r"/(199[0-9]|20[0-3][0-9])(?=/|$)"
 ADMITTED = "family string, year int, page_id long, url string"
 
 
-def editions(pages: DataFrame) -> DataFrame:
-    """page_id, url, family and year of the pages (page_id, url) that have a year; several years count as the newest."""
+def editions(pages: DataFrame, year_of: Callable[[Column], Column] = F.array_max) -> DataFrame:
+    """page_id, url, family and year of the pages (page_id, url) that have a year; several years count as the newest, or as ``year_of`` says."""
     path = urls.path(F.col("url"))
     years = F.transform(F.regexp_extract_all(path, F.lit(YEAR_SEGMENT), F.lit(1)), lambda y: y.cast("int"))
     family: Column = F.concat(urls.host(F.col("url")), F.lower(F.regexp_replace(path, YEAR_SEGMENT, "/~year~")))
-    return pages.select("page_id", "url", family.alias("family"), F.array_max(years).alias("year")).filter("year is not null")
+    return pages.select("page_id", "url", family.alias("family"), year_of(years).alias("year")).filter("year is not null")
 
 
-def admitted(pages: DataFrame) -> DataFrame:
+def admitted(pages: DataFrame, year_of: Callable[[Column], Column] = F.array_max) -> DataFrame:
     """The batch gate over editions in the order of their ids: a page passes if its year is above all before it in its family."""
     before = Window.partitionBy("family").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = editions(pages).withColumn("newest", F.max("year").over(before))
+    rows = editions(pages, year_of).withColumn("newest", F.max("year").over(before))
     return rows.filter("newest is null or year > newest").select("family", "year", "page_id", "url")
 
 
@@ -70,11 +70,11 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def admitted_stream(pages: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
+def admitted_stream(pages: DataFrame, forget_after_ms: int | None = None, year_of: Callable[[Column], Column] = F.array_max) -> DataFrame:
     """The gate over a stream of pages (page_id, url), in the order in which its micro-batches bring them.
 
     A stream that forgets goes by the clock, so that it always has another batch to run: give it a trigger by processing time.
     """
     keyed_state(pages.sparkSession)
     mode = "none" if forget_after_ms is None else "processingTime"
-    return editions(pages).groupBy("family").transformWithStateInPandas(EditionGate(forget_after_ms), ADMITTED, "append", mode)
+    return editions(pages, year_of).groupBy("family").transformWithStateInPandas(EditionGate(forget_after_ms), ADMITTED, "append", mode)

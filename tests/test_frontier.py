@@ -174,6 +174,15 @@ def test_editions_take_the_newest_year(spark):
     assert got == {1: ("a.org/handbook/~year~/~year~/x", 2024), 2: ("a.org/handbook/~year~/~year~/x/", 2023)}
 
 
+@pytest.mark.parametrize("name", ["x7_edition_gate"])
+def test_gate_queries_take_the_first_year(spark, tmp_path, name):
+    """The number of a page looks like a year and stays before the edition's, as the slash behind it keeps it."""
+    rows = [(1, "https://a.org/en/2013/"), (2, "https://a.org/en/2016/"), (3, "https://a.org/en/2015/"), (4, "https://a.org/en/71"), (5, "https://a.org/en/1/")]
+    pd.DataFrame([(*r, "") for r in rows], columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    got = rows_of_frame(catalogue.queries()[name](spark, str(tmp_path)))
+    assert got == rows_of_sql(catalogue.oracle_sql()[name], str(tmp_path)) and any("2016" in r for r in got[1])
+
+
 def test_families_are_forgotten(spark, tmp_path):
     """With a life of a millisecond a family's state is gone by the next batch, so an older edition passes again."""
     schema = "page_id long, url string"
