@@ -2,13 +2,14 @@
 
 Nearly is a Dice similarity over bigrams, counted as multisets, of the item and a window of its length. Windows are told
 apart by the strip of the text in which they start; the bigrams of the few strips that such windows reach bound what any of
-them can share, and one matrix product bounds all items against all strips. Only where the bound reaches the threshold are
-windows counted, exactly.
+them can share, and one matrix product bounds all items against all strips, over the bigrams that many strips lack
+(what an item has besides them counts as shared). Only where the bound reaches the threshold are windows counted, exactly.
 Items are a query set: they are taken in blocks of bounded size, each held against all texts in one pass.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of items in a block, places of a strip, classes of bigrams, copies of a class told apart, rows of a product.
-BLOCK_CHARS, STRIP, CLASSES, LEVELS, ROWS = 500_000, 32, 1024, 3, 1024
+#: Characters of items in a block, places of a strip, columns that bound, copies of a bigram told apart, rows of a product,
+#: characters of texts taken together, pieces of a strip.
+BLOCK_CHARS, STRIP, COLUMNS, LEVELS, ROWS, TOGETHER, PIECES = 500_000, 32, 768, 3, 2048, 500_000, 4
 FOUND = "doc_id long, item_id long, contained boolean, similarity double, best double, place long"
 _SPACE = re.compile(r"\s+")
 
@@ -34,8 +36,10 @@ def _codes(text: str) -> np.ndarray:
     return (c[:-1] << 21) | c[1:]
 
 
-def _classes(codes: np.ndarray) -> np.ndarray:
-    return (codes % 1_000_003 * 7919 + (codes >> 21) * 104_729) % CLASSES
+def _spots(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which of the sorted grams each code is, or -1."""
+    spot = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+    return np.where(grams[spot] == codes, spot, -1)
 
 
 class Item:
@@ -46,9 +50,7 @@ class Item:
         self.grams, self.most = np.unique(_codes(text), return_counts=True)
 
     def spots(self, codes: np.ndarray) -> np.ndarray:
-        """Which of the item's bigrams each is, or -1."""
-        spot = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
-        return np.where(self.grams[spot] == codes, spot, -1)
+        return _spots(self.grams, codes)
 
     def most_shared(self, known: np.ndarray) -> int:
         return int(np.minimum(np.bincount(known[known >= 0], minlength=len(self.most)), self.most).sum())
@@ -92,48 +94,127 @@ class Items:
             if len(text) >= 2:
                 groups.setdefault(1 + -(-(len(text) - 2) // STRIP), []).append(text)  # strips that windows from one strip reach
         self.parts = {text: Item(text) for texts in groups.values() for text in texts}
+        self.texts = sorted(groups.items())
+        self.groups: list[tuple] | None = None
+
+    def choose(self, codes: np.ndarray) -> None:
+        """Which bigrams, at which numbers of copies, tell strips apart, judged by some text; any choice bounds rightly.
+
+        A column is a bigram and a number of copies; what an item has outside the columns counts as shared.
+        """
+        all_grams = np.unique(np.concatenate([i.grams for i in self.parts.values()]))
+        held = np.zeros((LEVELS, len(all_grams)), np.int64)
+        for item in self.parts.values():
+            at = np.searchsorted(all_grams, item.grams)
+            for k in range(LEVELS):
+                held[k, at] += item.most > k
+        spots = _spots(all_grams, codes)
+        often = np.bincount(spots[spots >= 0], minlength=len(all_grams)) / max(1, len(codes))
+        expected = often * STRIP * float(np.median([reach for reach, _ in self.texts]))
+        fewer = np.exp(-expected)[None, :] * np.cumsum([expected**k / math.factorial(k) for k in range(LEVELS)], axis=0)
+        worth = held * fewer
+        best = np.argsort(-worth, axis=None, kind="stable")[:COLUMNS]
+        level, gram = np.unravel_index(best[worth.ravel()[best] > 0], worth.shape)
+        self.columns = all_grams[np.unique(gram)]
+        gram = np.searchsorted(self.columns, all_grams[gram])
+        self.of_level = [np.arange(len(self.columns)), *(np.sort(gram[level == k]) for k in range(1, LEVELS))]
+        starts = np.cumsum([0, *(len(g) for g in self.of_level)])
         self.groups = []
-        for reach, texts in sorted(groups.items()):
-            counts = np.stack([np.bincount(_classes(_codes(t)), minlength=CLASSES) for t in texts])
-            spare = np.maximum(counts - LEVELS, 0).sum(axis=1)
-            levels = np.concatenate([counts >= k for k in range(1, LEVELS + 1)], axis=1).astype(np.float32)
-            need = np.array([threshold * (len(t) - 2) for t in texts]) - spare - 1e-3
-            self.groups.append((reach, texts, levels.T.copy(), need.astype(np.float32)))
+        for reach, texts in self.texts:
+            has, own = np.zeros((starts[-1], len(texts)), np.float32), []
+            for i, text in enumerate(texts):
+                item = self.parts[text]
+                most = np.zeros(len(self.columns), np.int64)
+                known = _spots(self.columns, item.grams) if len(self.columns) else np.full(len(item.grams), -1)
+                most[known[known >= 0]] = item.most[known >= 0]
+                for k, grams in enumerate(self.of_level):
+                    has[starts[k] : starts[k + 1], i] = most[grams] > k
+                at = np.flatnonzero(most)
+                reached = -(-(STRIP + len(text) - 2) // (STRIP // PIECES))
+                own.append((at, most[at], reached, self.threshold * (len(text) - 2) - (len(text) - 1 - most.sum()) - 1e-3))
+            outside = np.array([len(t) - 1 for t in texts]) - has.sum(axis=0)
+            need = np.array([self.threshold * (len(t) - 2) for t in texts]) - outside - 1e-3
+            self.groups.append((reach, texts, has.T.copy(), need.astype(np.float32), own))
 
     def contained(self, text: str) -> set[str]:
         return {found for _, found in self.whole.iter(text)} if self.by_text else set()
 
-    def suspects(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(group, strip, item) where a window that starts in the strip could be near the item."""
-        strips = -(-len(codes) // STRIP)
-        most = max((g[0] for g in self.groups), default=0)
+    def suspects(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(group, item, strips) where a window that starts in the strip could be near the item."""
+        strips, width, piece = -(-len(codes) // STRIP), len(self.columns), STRIP // PIECES
+        most = max(g[0] for g in self.groups)
+        spots = _spots(self.columns, codes) if width else np.full(len(codes), -1)
         for a in range(0, strips, ROWS):
             n = min(ROWS, strips - a)
-            part = codes[a * STRIP : (a + n + most) * STRIP]
-            each = np.bincount(np.arange(len(part)) // STRIP * CLASSES + _classes(part), minlength=(n + most) * CLASSES).reshape(-1, CLASSES)
-            sums = np.zeros((n + most + 1, CLASSES), np.int32)
-            np.cumsum(each[: n + most], axis=0, out=sums[1:])
-            for g, (reach, _, levels, need) in enumerate(self.groups):
-                counts = sums[reach : reach + n] - sums[:n]
-                bound = sum((counts >= k).astype(np.float32) @ levels[(k - 1) * CLASSES : k * CLASSES] for k in range(1, LEVELS + 1))
-                for r, i in zip(*np.nonzero(bound >= need), strict=True):
-                    yield g, a + int(r), int(i)
+            part = spots[a * STRIP : (a + n + most) * STRIP]
+            at = np.flatnonzero(part >= 0)
+            pieces = (n + most) * PIECES
+            sums = np.zeros((width, pieces + 1), np.int32)
+            each = np.bincount(part[at] * pieces + at // piece, minlength=pieces * width).reshape(width, pieces)
+            np.cumsum(each.astype(np.int32), axis=1, out=sums[:, 1:])
+            whole = sums[:, ::PIECES].copy()
+            for g, (reach, _, has, need, own) in enumerate(self.groups):
+                counts = whole[:, reach : reach + n] - whole[:, :n]
+                there = np.empty((has.shape[1], n), np.float32)
+                there[:width] = counts > 0
+                place = width
+                for k, grams in enumerate(self.of_level[1:], 1):
+                    there[place : place + len(grams)] = np.take(counts, grams, axis=0) > k
+                    place += len(grams)
+                items, rows = np.nonzero(has @ there >= need[:, None])
+                cuts = np.searchsorted(items, np.arange(len(own) + 1))
+                for i in np.flatnonzero(np.diff(cuts)):  # the same over the very places that such windows reach
+                    grams, copies, reached, least = own[i]
+                    here = rows[cuts[i] : cuts[i + 1]]
+                    start = here * PIECES
+                    shared = np.minimum(sums[np.ix_(grams, start + reached)] - sums[np.ix_(grams, start)], copies[:, None])
+                    here = here[shared.sum(axis=0) >= least]
+                    if len(here):
+                        yield g, int(i), a + here
+
+    def near(self, texts: list[str]) -> list[dict[str, list[int]]]:
+        """For each text the strips in which windows near an item could start. Texts are searched together, each from a strip of its own."""
+        first, padded, strips = [], [], 0
+        for text in texts:
+            codes = _codes(text) if len(text) > 1 else np.zeros(0, np.int64)
+            first.append(strips)
+            padded += [codes, np.full(-len(codes) % STRIP, -1, np.int64)]
+            strips += -(-len(codes) // STRIP)
+        codes = np.concatenate(padded) if padded else np.zeros(0, np.int64)
+        if self.groups is None and len(codes) and self.parts:
+            self.choose(codes)
+        found: list[dict[str, list[int]]] = [{} for _ in texts]
+        for g, i, at in self.suspects(codes) if self.groups else ():
+            item = self.groups[g][1][i]
+            for d, strip in zip((np.searchsorted(first, at, side="right") - 1).tolist(), at.tolist(), strict=True):
+                if len(texts[d]) >= len(item):
+                    found[d].setdefault(item, []).append(strip - first[d])
+        return found
 
     def trace(self, texts: list[str]) -> Iterator[tuple[int, int, bool, float, float, int]]:
         """(number of the text, item_id, contained, similarity, best, place)."""
+        d = 0
+        while d < len(texts):
+            end, chars = d + 1, len(texts[d])
+            while end < len(texts) and chars + len(texts[end]) <= TOGETHER:
+                chars += len(texts[end])
+                end += 1
+            for number, *found in self._trace(texts[d:end]):
+                yield d + number, *found
+            d = end
+
+    def _trace(self, texts: list[str]) -> Iterator[tuple[int, int, bool, float, float, int]]:
         whole = [self.contained(t) for t in texts]
         for d, found in enumerate(whole):
             for item in found:
                 for i in self.by_text[item]:
                     yield d, i, True, 1.0, 1.0, texts[d].find(item)
-        for d, text in enumerate(texts):
-            near: dict[str, list[int]] = {}
-            codes = _codes(text) if len(text) > 1 else np.zeros(0, np.int64)
-            blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32
-            for g, strip, i in self.suspects(codes):
-                item = self.groups[g][1][i]
-                if len(text) >= len(item) and item not in whole[d]:
-                    near.setdefault(item, []).append(strip)
+        for d, near in enumerate(self.near(texts)):
+            text = texts[d]
+            near = {item: strips for item, strips in near.items() if item not in whole[d]}
+            if near:
+                codes = _codes(text)
+                blank = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32
             for item, strips in near.items():
                 best, place, step, stepped = 0.0, 0, max(1, len(item) // 4), 0.0
                 own = self.parts[item]

@@ -273,3 +273,22 @@ def test_sections_and_their_links(spark):
     assert all(r[0] == r[1] for r in rows.select("want", anchors.own_requirements_link(html, F.col("url"))).collect())
     linked = rows.select(anchors.deep_link(F.lit("https://a.org/x/#old"), F.lit("id")), anchors.deep_link(F.lit("https://a.org/x/#old"), F.lit(None).cast("string"))).first()
     assert tuple(linked) == ("https://a.org/x#id", "https://a.org/x/#old")
+
+
+def test_bound_leaves_few_strips():
+    """Texts of the items' own words: nearly no strip is left for exact counts, and all that hold an edited item are."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu" * 3 + "cmfwypvbgkjqxz") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, said(35)) for i in range(40)]
+    texts = [said(rng.randrange(5, 3000)) for _ in range(30)]
+    for d in range(0, 30, 3):
+        words_of = items[d][1].split()
+        words_of[5] = "xyzzy"
+        texts[d] += " " + " ".join(words_of) + " " + said(50)
+    found = snippets.Items(items, 0.85)
+    near = found.near(texts)
+    strips = sum(len(t) // snippets.STRIP for t in texts)
+    assert all(items[d][1] in near[d] for d in range(0, 30, 3))
+    assert sum(len(s) for by_item in near for s in by_item.values()) < 0.005 * strips * len(items)
+    assert {(d, i) for d, i, *_ in found.trace(texts)} >= {(d, d) for d in range(0, 30, 3)}
