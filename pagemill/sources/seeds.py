@@ -94,7 +94,8 @@ def robots_decisions(paths: DataFrame, rules: DataFrame) -> DataFrame:
 def sitemap_locations(files: DataFrame) -> DataFrame:
     """file, location, is_index of sitemap files (file, text)."""
     found = F.explode(F.expr(r"regexp_extract_all(text, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)")).alias("location")
-    return files.select("file", found, F.col("text").contains("<sitemapindex").alias("is_index"))
+    kinds = files.select("file", "text", F.col("text").contains("<sitemapindex").alias("is_index"))  # once a file, not once a location
+    return kinds.select("file", found, "is_index")
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:

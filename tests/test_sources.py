@@ -53,3 +53,13 @@ def test_report_and_audit(spark):
     df = spark.createDataFrame([("g", "b"), ("g", "a")], "g string, v string")
     assert [r["value"] for r in sinks.markdown_lines(df, "g", F.col("v")).collect()] == ["## g (2)", "- a", "- b"]
     assert sinks.audit({"rows": df}).first()["audit"] == '{"rows":2}'
+
+
+def test_a_file_is_searched_once_not_once_a_location(spark, capsys):
+    loc = "<url><loc> https://a.org/%d </loc></url>"
+    files = spark.createDataFrame([("a", "".join(loc % i for i in range(3))), ("b", "<sitemapindex><loc>c</loc>"), ("n", None)], "file string, text string")
+    found = seeds.sitemap_locations(files.repartition(2))
+    assert sorted(map(tuple, found.collect())) == [*(("a", f"https://a.org/{i}", False) for i in range(3)), ("b", "c", True)]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and plan.index("Generate explode") < plan.index("Contains(")
