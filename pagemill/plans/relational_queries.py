@@ -118,18 +118,29 @@ PLAIN_WORDS = ("the", "of", "university", "and")
 def j17_name_match(spark, sf_dir):
     """Names match where their distinctive words are the same set, or, where one has a single such word, if the other has it.
 
-    Names of the same words are one name with a count; sets of two words or more meet on the whole set, single words on the word.
+    Every supplier and customer with its name's words, the names of the other side that match them and how many rows those
+    stand for; names of the same words are one name, so links are told between names and no pairs of rows are spread out. Sets
+    of two words or more meet on the whole set, single words on the word.
     """
     distinctive = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*PLAIN_WORDS))))
     n, s, c = (_t(spark, sf_dir, x) for x in ("nation", "supplier", "customer"))
     k, code = F.col("s_suppkey") % 3, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     named = F.when(k == 0, F.concat(F.lit("The University of "), code)).when(k == 1, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(" and "), code)).otherwise(F.concat(code, F.lit(" r9")))
-    a = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(distinctive(named).alias("x")).agg(F.count("*").alias("suppliers"))
     own = F.concat(F.lit("University of N"), F.col("c_nationkey").cast("string"), F.lit(", R"), F.col("n_regionkey").cast("string"))
-    b = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(distinctive(own).alias("y")).agg(F.count("*").alias("customers"))
+    suppliers = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("id"), distinctive(named).alias("words"))
+    customers = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("customer").alias("side"), F.col("c_custkey").alias("id"), distinctive(own).alias("words"))
+    a = suppliers.groupBy(F.col("words").alias("x")).agg(F.count("*").alias("suppliers"))
+    b = customers.groupBy(F.col("words").alias("y")).agg(F.count("*").alias("customers"))
     same = a.filter(F.size("x") > 1).join(b.filter(F.size("y") > 1), F.col("x") == F.col("y")).select("x", "y", "suppliers", "customers")
     part = a.filter(F.size("x") == 1).withColumn("word", F.col("x")[0]).join(b.withColumn("word", F.explode("y")), "word").select("x", "y", "suppliers", "customers")
-    return same.unionByName(part).select(F.array_join("x", " ").alias("supplier_name"), F.array_join("y", " ").alias("customer_name"), "suppliers", "customers")
+    back = b.filter(F.size("y") == 1).withColumn("word", F.col("y")[0]).join(a.filter(F.size("x") > 1).withColumn("word", F.explode("x")), "word").select("x", "y", "suppliers", "customers")
+    pairs = same.unionByName(part).unionByName(back)
+    side = lambda name, words, other, rows: pairs.groupBy(F.lit(name).alias("side"), F.col(words).alias("words")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.array_join(other, " "))), "; ").alias("matches"), F.sum(rows).alias("links")
+    )
+    found = side("supplier", "x", "y", "customers").unionByName(side("customer", "y", "x", "suppliers"))
+    rows = suppliers.unionByName(customers).join(F.broadcast(found), ["side", "words"], "left")
+    return rows.select("side", "id", F.array_join("words", " ").alias("name"), F.coalesce("matches", F.lit("")).alias("matches"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def j19_frontier_anti(spark, sf_dir):

@@ -39,10 +39,15 @@ SQL = {
         from (select distinct {S.REGISTRABLE} as domain, coalesce({S.SEGMENTS}[1], '') as branch from pages) s
         join (select {S.REGISTRABLE} as domain, {S.PATH} as path from pages) p on s.domain = p.domain
         and (p.path = '/' || s.branch or starts_with(p.path, '/' || s.branch || '/')) group by 1, 2""",
-    "j17_name_match": """with a as (select s_nationkey as k, case when s_suppkey % 3 = 0 then 'n' || s_nationkey else 'n' || s_nationkey || ' r' || n_regionkey end as x, count(*) as suppliers
-        from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 < 2 group by 1, 2),
-        b as (select c_nationkey as k, 'n' || c_nationkey || ' r' || n_regionkey as y, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1, 2)
-        select x as supplier_name, y as customer_name, suppliers, customers from a join b using (k)""",
+    "j17_name_match": """with a as (select s_suppkey as id, 'n' || s_nationkey as word, 'n' || s_nationkey || case s_suppkey % 3 when 0 then '' when 1 then ' r' || n_regionkey else ' r9' end as name
+        from supplier join nation on s_nationkey = n_nationkey),
+        b as (select c_custkey as id, 'n' || c_nationkey as word, 'n' || c_nationkey || ' r' || n_regionkey as name from customer join nation on c_nationkey = n_nationkey),
+        x as (select word, name, count(*) as n from a group by 1, 2), y as (select word, name, count(*) as n from b group by 1, 2),
+        p as (select x.name as xn, y.name as yn, x.n as xc, y.n as yc from x join y on x.word = y.word and (x.name = x.word or x.name = y.name)),
+        f as (select 'supplier' as side, xn as name, string_agg(yn, '; ' order by yn) as matches, sum(yc) as links from p group by 2
+        union all select 'customer', yn, string_agg(xn, '; ' order by xn), sum(xc) from p group by 2),
+        r as (select 'supplier' as side, id, name from a union all select 'customer', id, name from b)
+        select r.side, r.id, r.name, coalesce(f.matches, '') as matches, coalesce(f.links, 0)::bigint as links from r left join f on r.side = f.side and r.name = f.name""",
     "j19_frontier_anti": f"""with p as (select page_id, url, {S.CANONICAL} as canonical from pages),
         done as (select url as alias from p where page_id % 3 = 0 union select canonical from p where page_id % 3 = 0)
         select page_id, canonical from p where not exists (select 1 from done where alias in (p.url, p.canonical))""",

@@ -38,3 +38,19 @@ def test_numbers_like_years_are_no_editions(spark, tmp_path):
     pd.DataFrame([(*r, "") for r in rows], columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
     got = rows_of_frame(catalogue.queries()["w8_newest_edition"](spark, str(tmp_path)))
     assert got == rows_of_sql(catalogue.oracle_sql()["w8_newest_edition"], str(tmp_path)) and ("en", "a.org", "4", "2024") in got[1]
+
+
+def test_name_match_keeps_every_row(spark, sf_dir):
+    """Every supplier and customer is there, and its links are those of a plain comparison of rows."""
+    rows = catalogue.queries()["j17_name_match"](spark, sf_dir).collect()
+    sides = {k: [r for r in rows if r["side"] == k] for k in ("supplier", "customer")}
+    assert [len(v) for v in sides.values()] == [spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in sides]
+
+    def match(x, y):
+        x, y = set(x.split()), set(y.split())
+        return x == y or (len(x) == 1 and x <= y) or (len(y) == 1 and y <= x)
+
+    for r in sides["supplier"]:
+        others = [o["name"] for o in sides["customer"] if match(r["name"], o["name"])]
+        assert r["links"] == len(others) and r["matches"] == "; ".join(sorted(set(others)))
+    assert sum(r["links"] for r in sides["supplier"]) == sum(r["links"] for r in sides["customer"]) > 0
