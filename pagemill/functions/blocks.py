@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCKS = {**dict.fromkeys(HEADINGS, "heading"), "p": "paragraph", "li": "list", "td": "table", "th": "table"}
-#: Characters of a chunk's body, and of the shortest block that counts as content.
-CHUNK, LEAST = 6000, 25
+#: Characters of a chunk's body, and of the shortest block that counts as content; pages whose blocks are held at once.
+CHUNK, LEAST, PAGES = 6000, 25, 100
 
 
 class _Reader(HTMLParser):
@@ -59,8 +59,9 @@ def blocks(pages: DataFrame) -> DataFrame:
     """page_id, block_no, type, level, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, i, *b) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, b in enumerate(page_blocks(h))]
+        parts = (batch.slice(a, PAGES) for batch in batches for a in range(0, batch.num_rows, PAGES))
+        for part in parts:
+            rows = [(p.as_py(), i, *b) for p, h in zip(part.column(0), part.column(1), strict=True) for i, b in enumerate(page_blocks(h.as_py()))]
             if rows:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["page_id", "block_no", "type", "level", "text"])

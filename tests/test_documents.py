@@ -6,10 +6,11 @@ from collections import Counter
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions import harvest, tree, urls
+from pagemill.functions import blocks, harvest, tree, urls
 from pagemill.operators import snippets
 
 HREFS = [
@@ -292,3 +293,15 @@ def test_bound_leaves_few_strips():
     assert all(items[d][1] in near[d] for d in range(0, 30, 3))
     assert sum(len(s) for by_item in near for s in by_item.values()) < 0.005 * strips * len(items)
     assert {(d, i) for d, i, *_ in found.trace(texts)} >= {(d, d) for d in range(0, 30, 3)}
+
+
+def test_blocks_of_a_batch_come_in_parts():
+    """No task holds the blocks of a whole batch of pages."""
+
+    class Pages:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(950)), "html": ["<p>one</p><p>two</p>"] * 949 + [None]})
+    got = list(blocks.blocks(Pages())([batch]))
+    assert sum(b.num_rows for b in got) == 2 * 949 and max(b.num_rows for b in got) <= 2 * blocks.PAGES
