@@ -305,3 +305,10 @@ def test_blocks_of_a_batch_come_in_parts():
     batch = pa.RecordBatch.from_pydict({"page_id": list(range(950)), "html": ["<p>one</p><p>two</p>"] * 949 + [None]})
     got = list(blocks.blocks(Pages())([batch]))
     assert sum(b.num_rows for b in got) == 2 * 949 and max(b.num_rows for b in got) <= 2 * blocks.PAGES
+
+
+def test_cleaning_judges_each_text_once(spark):
+    """Lines of furniture are looked for once in each block, not again for each other block of its page."""
+    rows = tree.documents(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")).select(tree.cleaned(F.col("blocks")))
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    assert 0 < plan.count("rlike") <= 6 * len(tree.FURNITURE)  # twice as many where blocks are cleaned again for their keys
