@@ -55,20 +55,26 @@ def resolve(href: Column, base: Column) -> Column:
 
     Scheme and host come out in lower case, without the scheme's own port; tabs and line ends inside go, blanks are escaped.
     """
-    h = F.regexp_replace(F.trim(F.regexp_replace(href, r"[\t\r\n]", "")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    own = F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    b = F.regexp_replace(base, "#.*$", "")
-    directory = F.regexp_replace(path(b), r"[^/]*$", "")
-    origin = F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, ORIGIN, 2))
-    full = (
-        F.when(h == "", None).when(h.rlike(NOT_PAGES), None).when(own != "", F.when(h.rlike("(?i)^https?://[^/?#]"), h))
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme(b), F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(origin, h))
-        .when(F.startswith(h, F.lit("?")), F.concat(origin, path(b), h)).otherwise(F.concat(origin, directory, h))
-    )
-    authority = F.regexp_replace(F.concat(scheme(full), F.lit("://"), host(full)), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
-    rest = F.regexp_extract(full, r"([?#].*)$", 1)
-    clean = F.concat(authority, _without_dots(path(full)), rest)
-    return F.when(scheme(full).isin("http", "https"), F.replace(clean, F.lit(" "), F.lit("%20")))
+    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # worked out once, however often it stands there
+    trimmed = F.regexp_replace(F.trim(F.regexp_replace(href, r"[\t\r\n]", "")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+    def full(h: Column, b: Column) -> Column:
+        own = F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        directory = F.regexp_replace(path(b), r"[^/]*$", "")
+        origin = F.concat(scheme(b), F.lit("://"), F.regexp_extract(b, ORIGIN, 2))
+        return (
+            F.when(h == "", None).when(h.rlike(NOT_PAGES), None).when(own != "", F.when(h.rlike("(?i)^https?://[^/?#]"), h))
+            .when(F.startswith(h, F.lit("//")), F.concat(scheme(b), F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+            .when(F.startswith(h, F.lit("?")), F.concat(origin, path(b), h)).otherwise(F.concat(origin, directory, h))
+        )
+
+    def clean(found: Column) -> Column:
+        authority = F.regexp_replace(F.concat(scheme(found), F.lit("://"), host(found)), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
+        rest = F.regexp_extract(found, r"([?#].*)$", 1)
+        whole = F.concat(authority, named(path(found), _without_dots), rest)
+        return F.when(scheme(found).isin("http", "https"), F.replace(whole, F.lit(" "), F.lit("%20")))
+
+    return named(trimmed, lambda h: named(F.regexp_replace(base, "#.*$", ""), lambda b: named(full(h, b), clean)))
 
 
 def path(url: Column) -> Column:

@@ -312,3 +312,10 @@ def test_cleaning_judges_each_text_once(spark):
     rows = tree.documents(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")).select(tree.cleaned(F.col("blocks")))
     plan = rows._jdf.queryExecution().analyzed().toString().lower()
     assert 0 < plan.count("rlike") <= 6 * len(tree.FURNITURE)  # twice as many where blocks are cleaned again for their keys
+
+
+def test_a_link_is_taken_apart_once(spark):
+    """The parts of a link and its base are named, not written out again at each place that needs them."""
+    rows = spark.createDataFrame([("../x", "https://a.org/b/c")], "href string, base string").select(urls.resolve(F.col("href"), F.col("base")).alias("link"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert rows.first()["link"] == "https://a.org/x" and plan.count("base#") < 5 and plan.count("href#") < 5
