@@ -18,6 +18,7 @@ import hashlib
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -287,8 +288,8 @@ class HostArray:
         group, own = group[own >= 0], own[own >= 0]
         if not len(group):
             return np.zeros(len(self.heads), np.int64)
-        pairs = np.unique(np.stack([group, own], axis=1), axis=0)
-        return np.bincount(pairs[:, 0], minlength=len(self.heads))
+        width = int(own.max()) + 1
+        return np.bincount(np.unique(group * width + own) // width, minlength=len(self.heads))
 
     def covered(self, groups: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """Which tokens of the owners (a mask) the runs of the groups (a mask) cover."""
@@ -302,16 +303,48 @@ class HostArray:
         """Number and hash of each of the groups (a mask)."""
         return [(int(g), window_hash(self.tokens[i : i + self.run])) for g, i in zip(np.flatnonzero(groups), self.starts[self.heads[groups]].tolist(), strict=True)]
 
+    def texts(self, groups: np.ndarray) -> list[str]:
+        """The run of each of the groups (a mask), its tokens joined by spaces."""
+        return [" ".join(self.tokens[i : i + self.run]) for i in self.starts[self.heads[groups]].tolist()]
 
-def distinct_windows(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[tuple[int, int, int]]:
-    """Of all runs of ``run`` tokens in the streams (page, tokens): hash, smallest and largest page that have it."""
+    def among(self, runs: set[str]) -> np.ndarray:
+        """Which groups (a mask) have one of these runs."""
+        words = {t for r in runs for t in r.split(" ")}
+        before = np.r_[0, np.cumsum(np.fromiter((t in words for t in self.tokens), np.int64, len(self.tokens)))]
+        first = self.starts[self.heads]
+        found = before[first + self.run] - before[first] == self.run
+        found[found] = [r in runs for r in self.texts(found)]
+        return found
+
+
+def window_pages(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[tuple[int, int, int, int]]:
+    """Of all runs of ``run`` tokens in the streams (page, tokens): hash, smallest and largest page that have it, and one
+    between them, or the smallest again if no other has it."""
     array = HostArray([(i, s) for i, (_, s) in enumerate(streams)], run)
     page = np.array([p for p, _ in streams], np.int64)
     if not len(array.heads):
         return []
     own = page[array.owner[array.starts]]
-    least, most = np.minimum.reduceat(own, array.heads).tolist(), np.maximum.reduceat(own, array.heads).tolist()
-    return [(h, least[g], most[g]) for g, h in array.windows(np.ones(len(array.heads), bool))]
+    least, most = np.minimum.reduceat(own, array.heads), np.maximum.reduceat(own, array.heads)
+    first = np.repeat(least, array.sizes)
+    between = np.maximum.reduceat(np.where(own < np.repeat(most, array.sizes), own, first), array.heads).tolist()
+    least, most = least.tolist(), most.tolist()
+    return [(h, least[g], most[g], between[g]) for g, h in array.windows(np.ones(len(array.heads), bool))]
+
+
+def distinct_windows(streams: list[tuple[int, list[str]]], run: int = RUN) -> list[tuple[int, int, int]]:
+    """Of all runs of ``run`` tokens in the streams (page, tokens): hash, smallest and largest page that have it."""
+    return [found[:3] for found in window_pages(streams, run)]
+
+
+def stretches(streams: list[list[str]], words: set[str], run: int = RUN) -> list[tuple[int, list[str]]]:
+    """(number of the stream, tokens) of the longest stretches, of ``run`` tokens at least, whose tokens all are in words."""
+    out = []
+    for i, tokens in enumerate(streams):
+        for kept, piece in itertools.groupby(tokens, words.__contains__):
+            if kept and len(found := list(piece)) >= run:
+                out.append((i, found))
+    return out
 
 
 def loose_identity(page_id: int, page: str, loose: list[str]) -> int:
@@ -335,8 +368,9 @@ def _streams(page: str) -> tuple[list[str], list[str]]:
     return main, loose
 
 
-def extract_group(ids: list[int | None], pages: list[str], common: set[int] = frozenset()) -> list[str]:
-    """The texts of a host's pages, or of a part of them; ``common`` are the runs that pages of several parts share."""
+def extract_group(ids: list[int | None], pages: list[str], common: dict[int, bool] | None = None, boilerplate: set[str] | None = None) -> list[str]:
+    """The texts of a host's pages. For a part of them ``common`` has the loose runs that two of the host's pages share, and
+    whether more than two do, and ``boilerplate`` the main runs that enough of the host's articles have."""
     split = [_streams(p) for p in pages]
     array = HostArray([(2 * i + loose, s) for i, pair in enumerate(split) for loose, s in enumerate(pair) if s])
     owner_id = np.repeat(np.array([-1 if x is None else x for x in ids], np.int64), 2)
@@ -357,12 +391,14 @@ def extract_group(ids: list[int | None], pages: list[str], common: set[int] = fr
         pages_of = array.distinct(counts_as)
         repeated, wide = pages_of > 1, pages_of > 2
         if common:
-            for g, h in array.windows(pages_of <= 2):
+            for g, h in array.windows((pages_of > 0) & (pages_of <= 2)):
                 repeated[g] |= h in common
-                wide[g] = h in common
+                wide[g] = common.get(h, False)
         gone |= array.covered(repeated, named)
         everywhere = array.covered(wide, named)
-        if len(article) >= WIDE:
+        if boilerplate:
+            gone |= array.covered(array.among(boilerplate), main)
+        elif boilerplate is None and len(article) >= WIDE:
             gone |= array.covered(array.distinct(article_of) >= max(WIDE, SHARE * len(article)), main)
     out, at = [], 0
     for page, (main, loose) in zip(pages, split, strict=True):
@@ -427,17 +463,77 @@ def _extract_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _texts_of(*done)
 
 
+def _table(schema: str, *columns: list) -> pa.Table:
+    names = [x.split(" ") for x in schema.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+WINDOWS, ARTICLES, RUNS, COUNTS = "host string, window long, page long", "host string, salt int, article long", "host string, run string", "host string, run string, n long"
+
+
 def _group_windows(group: pa.Table) -> pa.Table:
-    """The runs of a part's loose blocks, with the smallest and largest page that have them."""
+    """The runs of a part's loose blocks with the pages that have them, three of them if there are more."""
     pages = zip(group.column("page_id").to_pylist(), group.column("page").to_pylist(), strict=True)
-    rows = distinct_windows([(loose_identity(i, page, loose), loose) for i, page in pages if i is not None and (loose := _streams(page)[1])])
-    cols = ([group.column("host")[0].as_py()] * len(rows), *([r[i] for r in rows] for i in range(3)))
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "window", "least", "most"])
+    found = window_pages([(loose_identity(i, page, loose), loose) for i, page in pages if i is not None and (loose := _streams(page)[1])])
+    rows = [(h, p) for h, *own in found for p in set(own)]
+    return _table(WINDOWS, [group.column("host")[0].as_py()] * len(rows), [h for h, _ in rows], [p for _, p in rows])
 
 
-def _extract_part(pages: pa.Table, windows: pa.Table) -> pa.Table:
+def _articles(pages: pa.Table, elsewhere: set[int] = frozenset()) -> dict[int, list[str]]:
+    """The main tokens of a part's different articles, by their hash, but for those that another part counts."""
+    out: dict[int, list[str]] = {}
+    for i, page in zip(pages.column("page_id").to_pylist(), pages.column("page").to_pylist(), strict=True):
+        if i is not None and (main := _streams(page)[0]) and (h := window_hash(main)) not in elsewhere:
+            out.setdefault(h, main)
+    return out
+
+
+def _group_articles(group: pa.Table) -> pa.Table:
+    found = list(_articles(group))
+    return _table(ARTICLES, [group.column("host")[0].as_py()] * len(found), [group.column("salt")[0].as_py()] * len(found), found)
+
+
+def _values(notes: pa.Table, name: str) -> set:
+    return set(notes.column(name).drop_null().to_pylist())
+
+
+def _candidates(pages: pa.Table, notes: pa.Table) -> pa.Table:
+    """The main runs that the asked share of the articles which a part counts have: what has it in the host, has it in some part."""
+    own = list(_articles(pages, _values(notes, "article")).values())
+    need, runs = SHARE * len(own) - 1e-6, []
+    if own:
+        articles_with = Counter(t for main in own for t in set(main))
+        array = HostArray(stretches(own, {t for t, n in articles_with.items() if n >= need}))
+        runs = array.texts(array.distinct(np.arange(len(own))) >= need) if len(array.heads) else []
+    return _table(RUNS, [pages.column("host")[0].as_py()] * len(runs) if runs else [], runs)
+
+
+def _run_counts(pages: pa.Table, notes: pa.Table) -> pa.Table:
+    """How many of the articles that a part counts have each of the host's candidates; and, at the empty run, how many they are."""
+    runs = _values(notes, "run")
+    if not runs or not pages.num_rows:
+        return _table(COUNTS, [], [], [])
+    own = list(_articles(pages, _values(notes, "article")).values())
+    rows = [("", len(own))]
+    array = HostArray(stretches(own, {t for r in runs for t in r.split(" ")}))
+    if len(array.heads):
+        found = array.among(runs)
+        rows += zip(array.texts(found), array.distinct(np.arange(len(own)))[found].tolist(), strict=True)
+    return _table(COUNTS, [pages.column("host")[0].as_py()] * len(rows), [r for r, _ in rows], [n for _, n in rows])
+
+
+def _extract_part(pages: pa.Table, notes: pa.Table) -> pa.Table:
     ids, urls = pages.column("page_id").to_pylist(), pages.column("url").to_pylist()
-    texts = extract_group(ids, pages.column("page").to_pylist(), set(windows.column("window").to_pylist()))
+    common, counts = {}, {}
+    for window, many, run, n in zip(*(notes.column(c).to_pylist() for c in ("window", "many", "run", "n")), strict=True):
+        if run is None:
+            common[window] = many
+        else:
+            counts[run] = n
+    articles = counts.pop("", 0)
+    boilerplate = {r for r, n in counts.items() if n >= max(WIDE, SHARE * articles)}
+    texts = extract_group(ids, pages.column("page").to_pylist(), common, boilerplate)
     return pa.Table.from_batches([_texts_of(ids, urls, texts)])
 
 
@@ -449,13 +545,41 @@ def large_hosts(pages: DataFrame) -> dict[str, int]:
     return {r["host"]: -(-r["bytes"] // most) for r in sizes.filter(F.col("bytes") > most).collect()}
 
 
+def _extract_dealt(dealt: DataFrame, parts: DataFrame) -> DataFrame:
+    """The texts of hosts dealt to parts, by counts over all parts of a host.
+
+    Loose runs: how many pages have each, told up to three. Main runs: an article counts in the first part that has a copy of it.
+    A run that the asked share of all articles have is had by that share of some part's, so the parts' own are the candidates,
+    and all parts count them.
+    """
+    group = dealt.groupBy("host", "salt")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt")
+    to_parts = lambda rows, *cols: rows.join(F.broadcast(parts), "host").select("host", every, *cols)
+    gather = lambda notes, run, schema: group.cogroup(notes.groupBy("host", "salt")).applyInArrow(run, schema)
+    void = lambda kind, name: F.lit(None).cast(kind).alias(name)
+
+    windows = group.applyInArrow(_group_windows, WINDOWS).repartition("host", "window")
+    shared = windows.groupBy("host", "window").agg(F.count_distinct("page").alias("pages")).filter("pages > 1")
+    common = to_parts(shared, "window", (F.col("pages") > 2).alias("many"))
+
+    articles = group.applyInArrow(_group_articles, ARTICLES).groupBy("host", "article").agg(F.min("salt").alias("home"), F.collect_set("salt").alias("salts"))
+    elsewhere = articles.filter(F.size("salts") > 1).select("host", F.explode("salts").alias("salt"), "article", "home").filter("salt > home").drop("home")
+    candidates = to_parts(gather(elsewhere, _candidates, RUNS).distinct(), "run")
+    notes = elsewhere.select("*", void("string", "run")).unionByName(candidates.select("host", "salt", void("long", "article"), "run"))
+    counts = gather(notes, _run_counts, COUNTS).groupBy("host", "run").agg(F.sum("n").alias("n")).filter((F.col("run") == "") | (F.col("n") >= WIDE))
+
+    found = common.select("*", void("string", "run"), void("long", "n"))
+    found = found.unionByName(to_parts(counts, void("long", "window"), void("boolean", "many"), "run", "n"))
+    return gather(found, _extract_part, OUT)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; null or empty html gives the empty text.
 
-    Every page's blocks go through its host's suffix array. Hosts of more than GROUP_BYTES are dealt to parts by page; the
-    runs of their loose blocks are put together by host, so a run that only several parts share is found as well, and the
-    share of articles is that of a part. Rows that share a page id don't count as distinct pages; rows with a null id are kept
-    whole but for what structure drops, and make nothing repeated. Pages without a host are one host's.
+    Every page's blocks go through its host's suffix array. Hosts of more than GROUP_BYTES are dealt to parts by page, and
+    what repeats is counted over all parts, so the texts don't depend on how a host is dealt. Rows that share a page id don't
+    count as distinct pages; rows with a null id are kept whole but for what structure drops, and make nothing repeated.
+    Pages without a host are one host's.
     """
     spark = pages.sparkSession
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)), "^.*@", "")
@@ -469,9 +593,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     if large:
         salt = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")
         dealt = rows.join(F.broadcast(parts), "host").withColumn("salt", salt).select(*order).mapInArrow(_parse, PARSED)
-        windows = dealt.groupBy("host", "salt").applyInArrow(_group_windows, "host string, window long, least long, most long")
-        common = windows.groupBy("host", "window").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a < b")
-        every = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt")
-        common = common.join(F.broadcast(parts), "host").select("host", every, "window")
-        out = out.unionByName(dealt.groupBy("host", "salt").cogroup(common.groupBy("host", "salt")).applyInArrow(_extract_part, OUT))
+        out = out.unionByName(_extract_dealt(dealt, parts))
     return out.withColumn("n_chars", F.length("text").cast("long"))

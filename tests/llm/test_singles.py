@@ -271,6 +271,28 @@ def test_extraction_equals_brute_force(spark):
     assert sum(quote in t for t in got.values()) > 35
 
 
+@pytest.mark.parametrize("most", [1_000, 20_000, 10**9])
+def test_texts_do_not_depend_on_how_a_host_is_dealt(spark, monkeypatch, most):
+    """Main blocks of 13 in 15 articles stay and those of 14 go, pages that one other has taken whole keep their text; at any size of a part."""
+    monkeypatch.setattr(html_main, "GROUP_BYTES", most)
+    rng = random.Random(29)
+    notice, often, menu, bar, rows = sentence(rng, 10), sentence(rng, 9), sentence(rng, 9), sentence(rng, 11), []
+    for i in range(60):
+        body = [f"<p>{sentence(rng, rng.randint(5, 25))} own{i}</p>"]
+        body += [f"<p>{notice}</p>"] if i % 15 else []
+        body += [f"<p>{often}</p>"] if i % 15 > 1 else []
+        rng.shuffle(body)
+        rows.append((i, f"https://a.net/{i}", f"<div>{bar if i < 2 else ''}</div><article>{''.join(body)}</article>"))
+    rows += [(100 + i, f"https://a.net/c{i}", rows[0][2]) for i in range(30)]  # copies of an article without the notice
+    for i in range(12):
+        text = f"only{i} {sentence(rng, 11)}"
+        rows += [(200 + 3 * i + j, f"https://a.net/l{i}/{j}", f"<div>{text}</div><p>{more}</p>") for j, more in enumerate(["", sentence(rng, 9)])]
+        rows += [(202 + 3 * i, f"https://a.net/m{i}", f"<div>{menu}</div><div>{sentence(rng, 12)}</div>"), (None, f"https://a.net/n{i}", f"<article>{notice}</article>")]
+    got, want = texts_of(spark, [r for r in rows if r[0] is not None] + rows[-1:]), brute_extract([r for r in rows if r[0] is not None])
+    assert got.pop(None) == notice and got == want
+    assert not any(notice in t for t in got.values()) and sum(often in t for t in got.values()) == 52 and want[200].startswith("only0")
+
+
 def test_attributes_and_classes(spark):
     pages = {
         '<article><p title="the hidden treasure">kept</p></article>': "kept",
