@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +104,20 @@ def test_dataset_hash_ignores_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "a long, b string")
     a, b = (relational.dataset_hash(x, ["a", "b"]).first()[0] for x in (df, df.orderBy(F.desc("a"))))
     assert a == b and a != relational.dataset_hash(df.distinct(), ["a", "b"]).first()[0]
+
+
+@pytest.mark.parametrize("meeting", [1, 7, 1_000])
+def test_dice_join_equals_brute_force_and_gathers_no_pairs(spark, monkeypatch, meeting):
+    """Names of few letters, so that bigrams repeat and signatures clash; what meets on a bigram is dealt to one or to many tasks."""
+    monkeypatch.setattr(linkage, "MEETING", meeting, raising=False)
+    rng = random.Random(19)
+    names = {"".join(rng.choice("abcdé") for _ in range(rng.randint(0, 14))) for _ in range(60)} | {"", "a", "aa", "aaaaaaaaaaaa", "aaaaaaaaaaaaa"}
+    names |= {n[:i] + rng.choice("abc") + n[i + 1 :] for n in sorted(names) for i in (3, 9) if len(n) > 9} | {n + "b" for n in sorted(names)}
+    grams = {n: Counter(n[i : i + 2] for i in range(len(n) - 1)) for n in names}
+    for least in (0.6, 0.85):
+        rows = spark.createDataFrame(sorted((n, list(g.elements())) for n, g in grams.items()), "name string, grams array<string>")
+        found = linkage.dice_join(rows, "name", "grams", least)
+        got = {(r["a"], r["b"]): r["dice"] for r in found.collect()}
+        value = {(a, b): 2 * (grams[a] & grams[b]).total() / (len(a) + len(b) - 2) for a in names for b in names if a < b and len(a) > 1 and len(b) > 1}
+        assert got == {pair: v for pair, v in value.items() if v >= least} and len(got) > 40 and found.count() == len(got)
+        assert not re.search(r"keys=\[a#\d+, b#\d+\]", found._jdf.queryExecution().executedPlan().toString())
