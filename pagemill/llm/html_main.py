@@ -469,7 +469,7 @@ def _table(schema: str, *columns: list) -> pa.Table:
     return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-WINDOWS, ARTICLES, RUNS, COUNTS = "host string, window long, page long", "host string, salt int, article long", "host string, run string", "host string, run string, n long"
+WINDOWS, ARTICLES, COUNTS = "host string, window long, page long", "host string, salt int, article long", "host string, run string, n long"
 
 
 def _group_windows(group: pa.Table) -> pa.Table:
@@ -499,14 +499,17 @@ def _values(notes: pa.Table, name: str) -> set:
 
 
 def _candidates(pages: pa.Table, notes: pa.Table) -> pa.Table:
-    """The main runs that the asked share of the articles which a part counts have: what has it in the host, has it in some part."""
+    """The main runs that most of the articles which a part counts have, with the number of these articles.
+
+    Twice as many may lack a run as in the host, so that runs of the asked share are found in parts with half of all articles.
+    """
     own = list(_articles(pages, _values(notes, "article")).values())
-    need, runs = SHARE * len(own) - 1e-6, []
+    need, runs = (2 * SHARE - 1) * len(own) - 1e-6, []
     if own:
         articles_with = Counter(t for main in own for t in set(main))
         array = HostArray(stretches(own, {t for t, n in articles_with.items() if n >= need}))
         runs = array.texts(array.distinct(np.arange(len(own))) >= need) if len(array.heads) else []
-    return _table(RUNS, [pages.column("host")[0].as_py()] * len(runs) if runs else [], runs)
+    return _table(COUNTS, [pages.column("host")[0].as_py()] * len(runs) if runs else [], runs, [len(own)] * len(runs))
 
 
 def _run_counts(pages: pa.Table, notes: pa.Table) -> pa.Table:
@@ -549,8 +552,8 @@ def _extract_dealt(dealt: DataFrame, parts: DataFrame) -> DataFrame:
     """The texts of hosts dealt to parts, by counts over all parts of a host.
 
     Loose runs: how many pages have each, told up to three. Main runs: an article counts in the first part that has a copy of it.
-    A run that the asked share of all articles have is had by that share of some part's, so the parts' own are the candidates,
-    and all parts count them.
+    Runs that most articles have in parts with half of the host's articles are the candidates (a run of the asked share is one
+    of them), and all parts count them.
     """
     group = dealt.groupBy("host", "salt")
     every = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("salt")
@@ -564,7 +567,9 @@ def _extract_dealt(dealt: DataFrame, parts: DataFrame) -> DataFrame:
 
     articles = group.applyInArrow(_group_articles, ARTICLES).groupBy("host", "article").agg(F.min("salt").alias("home"), F.collect_set("salt").alias("salts"))
     elsewhere = articles.filter(F.size("salts") > 1).select("host", F.explode("salts").alias("salt"), "article", "home").filter("salt > home").drop("home")
-    candidates = to_parts(gather(elsewhere, _candidates, RUNS).distinct(), "run")
+    sizes = articles.groupBy("host").agg(F.count_if((F.size("salts") > 0) & (F.col("home") >= 0)).alias("articles")).filter(F.col("articles") >= WIDE)
+    runs = gather(elsewhere, _candidates, COUNTS).groupBy("host", "run").agg(F.sum("n").alias("n")).join(F.broadcast(sizes), "host")
+    candidates = to_parts(runs.filter(F.col("n") * 2 >= F.col("articles")).select("host", "run"), "run")
     notes = elsewhere.select("*", void("string", "run")).unionByName(candidates.select("host", "salt", void("long", "article"), "run"))
     counts = gather(notes, _run_counts, COUNTS).groupBy("host", "run").agg(F.sum("n").alias("n")).filter((F.col("run") == "") | (F.col("n") >= WIDE))
 
