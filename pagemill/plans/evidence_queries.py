@@ -51,13 +51,24 @@ def _is(kind: str):
     return lambda b: b["type"] == kind
 
 
+def _cells(*values):
+    """A row of a table in HTML; a null is an empty cell."""
+    escaped = lambda v: F.replace(F.replace(F.coalesce(v.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(v)) for v in values])
+
+
 def d12_page_text(spark, sf_dir):
-    """Each page as blocks, with a table of its links' first words put behind it; cleaned and written out."""
-    table = F.concat(F.lit("<table><caption>Page "), F.col("page_id").cast("string"), F.lit("</caption><tr><th>Host<th>Depth<tr><td>"), urls.host(F.col("url")), F.lit("<td>"), urls.depth(F.col("url")).cast("string"), F.lit("</table>"))
-    pages = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), table).alias("html"))
-    rows = tree.documents(pages).withColumn("kept", tree.cleaned(F.col("blocks")))
+    """Each page as blocks, with a table put behind it (host and depth of the page, then of each of its links, with the link's first word); cleaned and written out."""
+    rows = tree.documents(_t(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("links", tree.resolved(F.col("links"), F.col("url")))
+    of_links = F.transform("links", lambda k: _cells(urls.host(k["url"]), urls.depth(k["url"]), F.substring_index(k["text"], " ", 1)))
+    table = F.concat(
+        F.lit("<table><caption>Page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("</caption><tr><th>Host<th>Depth<th>First word"),
+        _cells(urls.host(F.col("url")), urls.depth(F.col("url"))), F.array_join(of_links, ""), F.lit("</table>"),
+    )
+    rows = rows.withColumn("kept", tree.cleaned(F.concat("blocks", tree.blocks_of(table))))
     kinds = {k: F.size(F.filter("kept", _is(k))) for k in ("heading", "paragraph", "list", "table")}
-    return rows.select("page_id", "title", *[c.cast("long").alias(f"{k}s") for k, c in kinds.items()], F.size("links").cast("long").alias("links"), tree.blocks_text(F.col("kept")).alias("text"))
+    counts = [c.cast("long").alias(f"{k}s") for k, c in (kinds | {"link": F.size("links")}).items()]
+    return rows.select("page_id", "title", "lang", *counts, F.col("visible").alias("visible_text"), tree.blocks_text(F.col("kept")).alias("text"))
 
 
 VOCABULARY = ("eligibility", "entry requirements", "entry requirement", "entry criteria", "admission requirements", "how to apply", "admission", "admissions")

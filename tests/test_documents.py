@@ -319,3 +319,42 @@ def test_a_link_is_taken_apart_once(spark):
     rows = spark.createDataFrame([("../x", "https://a.org/b/c")], "href string, base string").select(urls.resolve(F.col("href"), F.col("base")).alias("link"))
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert rows.first()["link"] == "https://a.org/x" and plan.count("base#") < 5 and plan.count("href#") < 5
+
+
+def plain_visible(html):
+    """The lines that are seen, by another parser, over the parsed tree."""
+    root = ElementTree.fromstring(html)
+    places = {c for m in root.iter("main") for c in m.iter() if c is not m} if root.find(".//main") is not None else set(root.iter())
+    own = lambda e: (e.text or "") + "".join(("" if c.tag in ("ul", "ol", "table") else "".join(c.itertext())) + (c.tail or "") for c in e)
+    lines = [" ".join(own(e).split()) for e in root.iter() if e in places and e.tag in "h1 h2 h3 h4 h5 h6 p li td th dt dd figcaption blockquote".split()]
+    return "\n".join(x for x in lines if x)
+
+
+def test_visible_text_equals_another_parser(spark):
+    rng = random.Random(5)
+
+    def some():
+        kind = rng.choice(["{}", "{}", "<main>{}</main>", "<main><div>{}</div><main>x {}</main></main>", "<dl><dt>{}</dt><dd>{} tail</dd></dl>", "<blockquote>{} of</blockquote>", "<figure><figcaption>{}</figcaption></figure>"])
+        return kind.replace("{}", random_markup(rng))
+
+    pages = [f"<html lang='en'><head><title>Of the page</title></head><body>{''.join(some() for _ in range(rng.randint(0, 6)))}</body></html>" for _ in range(150)]
+    rows = tree.documents(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(3)).select("page_id", "visible").collect()
+    assert {r["page_id"]: r["visible"] for r in rows} == {i: plain_visible(p) for i, p in enumerate(pages)}
+    assert tree.parsed("<p>one<figure><figcaption>two</figure><dl><dt>a<dd>b<script>no</script><dt>c</dl><ul><li>x<ul><li>y</ul>z<li>w</ul>")[4].split("\n") == ["one", "two", "a", "b", "c", "xz", "y", "w"]
+
+
+def test_page_text_ends_in_the_table_of_its_links(spark, tmp_path):
+    """Links count where they lead to a page, and each is a row of the table, whatever the page leaves open or has as its URL."""
+    from pagemill.plans import evidence_queries
+
+    links = '<html lang="de"><nav><a href="../x?q">Away  from here</a><a href="mailto:a@b.c">Mail us</a><a href="#top">Top</a></nav><p>Short<p><a href="https://B.org/c/d">&lt;td&gt;R&amp;D| now</a><a href="/"> </a>'
+    pages = [(1, "https://a.org/b/c/", links), (2, None, links), (3, "https://a.org/b", None), (None, "https://a.org/b", "<h1>Head</h1><script>open")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in evidence_queries.d12_page_text(spark, str(tmp_path)).collect()}
+    head = "Host | Depth | First word"
+    assert got[1]["text"] == f"Page 1\n{head}\na.org | 2\na.org | 2 | Away\nb.org | 2 | <td>R&D|\na.org | 0 |"
+    assert got[2]["text"] == f"Page 2\n{head}\n | \nb.org | 2 | <td>R&D|"
+    assert (got[3]["text"], got[None]["text"]) == (f"Page 3\n{head}\na.org | 1", f"# Head\nPage\n{head}\na.org | 1")
+    assert [(got[k]["links"], got[k]["tables"], got[k]["lang"], got[k]["visible_text"]) for k in (1, 2, 3, None)] == [
+        (3, 1, "de", "Short\n<td>R&D| now"), (1, 1, "de", "Short\n<td>R&D| now"), (0, 1, None, ""), (0, 1, None, "Head"),
+    ]
